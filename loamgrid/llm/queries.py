@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import formatting, places, survivors
+from loamgrid.llm import formatting, packing, places, survivors
 from loamgrid.session import table
 
 MISSING_SQL = "coalesce(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))) in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a'), true)"
@@ -36,7 +36,15 @@ def p4_collisions(spark, d):
     return formatting.collisions(formatting.collapse(table(spark, d, "vendor_feed"))).selectExpr("hex(h128) as digest", "n_records", "n_copies")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden, p3_found, p3_misses, p4_found, p4_collapsed, p4_collisions)}
+def p6_packed(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p6_report(spark, d):
+    return packing.report(packing.pack(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_golden, p3_found, p3_misses, p4_found, p4_collapsed, p4_collisions, p6_packed, p6_report)}
 
 _CELLS = " union all ".join(
     f"select d._rule, d._group_id, '{a}' column_name, d.row_id, d.{a} v, d.updated_at t, s.trust_rank r from duplicate_records d left join source_systems s using (source_system) where not {MISSING_SQL.format(c='d.' + a)}"
