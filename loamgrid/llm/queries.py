@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import formatting, packing, places, survivors
+from loamgrid.llm import abuse, formatting, leaks, packing, places, survivors
 from loamgrid.session import table
 
 MISSING_SQL = "coalesce(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))) in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a'), true)"
@@ -44,7 +44,35 @@ def p6_report(spark, d):
     return packing.report(packing.pack(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden, p3_found, p3_misses, p4_found, p4_collapsed, p4_collisions, p6_packed, p6_report)}
+def p7_found(spark, d):
+    return leaks.found(leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+def p7_passages(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_items(spark, d):
+    return leaks.report(leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+def _scored(spark, d):
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p8_found(spark, d):
+    return _scored(spark, d).where("flagged").select("doc_id")
+
+
+def p8_scores(spark, d):
+    return _scored(spark, d).select("doc_id", "score", "flagged")
+
+
+def p8_rates(spark, d):
+    return abuse.rates(_scored(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_golden, p3_found, p3_misses, p4_found, p4_collapsed, p4_collisions, p6_packed, p6_report, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}
 
 _CELLS = " union all ".join(
     f"select d._rule, d._group_id, '{a}' column_name, d.row_id, d.{a} v, d.updated_at t, s.trust_rank r from duplicate_records d left join source_systems s using (source_system) where not {MISSING_SQL.format(c='d.' + a)}"
