@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import abuse, formatting, leaks, packing, places, survivors
+from loamgrid.llm import abuse, formatting, leaks, names, packing, places, survivors
 from loamgrid.session import table
 
 MISSING_SQL = "coalesce(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))) in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a'), true)"
 
 
+def p1_found(spark, d):
+    return names.pairs(table(spark, d, "vendor_master"))
+
+
+def p1_vendors(spark, d):
+    return names.vendors(table(spark, d, "vendor_master"))
+
+
 def p2_found(spark, d):
     return survivors.survivors(table(spark, d, "duplicate_records"), table(spark, d, "source_systems")).select("_rule", "_group_id", "column_name", "row_id")
 
@@ -72,7 +80,7 @@ def p8_rates(spark, d):
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden, p3_found, p3_misses, p4_found, p4_collapsed, p4_collisions, p6_packed, p6_report, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_vendors, p2_found, p2_golden, p3_found, p3_misses, p4_found, p4_collapsed, p4_collisions, p6_packed, p6_report, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)}
 
 _CELLS = " union all ".join(
     f"select d._rule, d._group_id, '{a}' column_name, d.row_id, d.{a} v, d.updated_at t, s.trust_rank r from duplicate_records d left join source_systems s using (source_system) where not {MISSING_SQL.format(c='d.' + a)}"
