@@ -66,7 +66,7 @@ def deletes(s: str, n: int) -> set[str]:
     """All strings left when up to n letters are taken out."""
     out = {s}
     for k in range(1, min(n, len(s) - 2) + 1):
-        out.update("".join(s[i] for i in range(len(s)) if i not in gone) for gone in map(set, combinations(range(len(s)), k)))
+        out.update(map("".join, combinations(s, len(s) - k)))
     return out
 
 
@@ -132,6 +132,8 @@ class Gazetteer:
             for form in {core, sound(core)}:
                 for d in deletes(form, self.reach(core)):
                     self.index[d].add(core)
+        self.heard = {core: sound(core) for core in self.by_core}
+        self.memo: dict = {}
         self.starts: dict[str, set] = defaultdict(set)
         for core in self.by_core:
             for k in range(min(5, len(core) - 1), len(core)):
@@ -176,29 +178,45 @@ class Gazetteer:
         if len(w) > 1:
             forms.add(("", "".join(w)))
         for head, core in forms:
-            if len(core) > self.longest + MAX_DELETES:
-                continue
-            near = set()
-            if core in self.by_core:
-                near.add(core)
-            for form in {core, sound(core)}:
-                for d in deletes(form, min(MAX_DELETES, max(0, (len(core) - 2) // 2))):
-                    near |= self.index.get(d, set())
-            near |= self.starts.get(core, set())
-            for c in near:
-                most = REACH * len(c) + 0.05
-                cost = distance(core, c, most)
-                other = distance(sound(core), sound(c), most) + 0.3
-                cost = min(cost, other)
-                if len(core) >= 4 and c.startswith(core) and c != core:
-                    cost = min(cost, (0.1 if cut_off else 0.25) * (len(c) - len(core)) + 0.2)
-                if cost > most:
-                    continue
-                for ref, h in self.by_core[c]:
-                    total = cost + (0.0 if h == head else 1.3)
-                    best[ref] = min(best.get(ref, 99.0), total)
+            for ref, cost in self.near(head, core, cut_off):
+                best[ref] = min(best.get(ref, 99.0), cost)
         return sorted((c, r) for r, c in best.items())
 
+    def near(self, head: str, core: str, cut_off: bool) -> list[tuple[int, float]]:
+        """(ref_id, cost) of the entries in reach of a leading word and a core; remembered, as many typed forms share them."""
+        key = (head, core, cut_off)
+        if (hit := self.memo.get(key)) is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            hit = self.memo[key] = self._near(head, core, cut_off)
+        return hit
+
+    def _near(self, head: str, core: str, cut_off: bool) -> list[tuple[int, float]]:
+        if len(core) > self.longest + MAX_DELETES:
+            return []
+        exact = [(ref, 0.0) for ref, h in self.by_core.get(core, ()) if h == head]
+        if exact:
+            return exact
+        near = {core} if core in self.by_core else set()
+        most_deletes = min(MAX_DELETES, max(0, (len(core) - 2) // 2))
+        for form in {core, sound(core)}:
+            for d in deletes(form, most_deletes):
+                near.update(self.index.get(d, ()))
+        near.update(self.starts.get(core, ()))
+        best: dict[int, float] = {}
+        heard = sound(core)
+        for c in near:
+            most = REACH * len(c) + 0.05
+            cost = min(distance(core, c, most), distance(heard, self.heard[c], most) + 0.3)
+            if len(core) >= 4 and c.startswith(core) and c != core:
+                cost = min(cost, (0.1 if cut_off else 0.25) * (len(c) - len(core)) + 0.2)
+            if cost > most:
+                continue
+            for ref, h in self.by_core[c]:
+                total = cost + (0.0 if h == head else 1.3)
+                best[ref] = min(best.get(ref, 99.0), total)
+        return list(best.items())
+
 
 class Mapper:
     """Maps (city, country) as typed to (city ref, country ref); 0 for a miss, None for a missing value."""
@@ -208,6 +226,7 @@ class Mapper:
         self.cities = Gazetteer([e[1:] for e in entries if e[0] == "city"], frequency)
         self.countries = Gazetteer([e[1:] for e in entries if e[0] == "country"], frequency)
         self.seen_city: dict = {}
+        self.seen_typed: dict = {}
         self.seen_country: dict = {}
 
     def order(self, ref: int) -> tuple:
@@ -227,7 +246,10 @@ class Mapper:
             hint = country
             if not hint and (m := re.search(r"[,/(]\s*([^,/()]+)\)?\s*$", typed)):
                 hint = self.country(m[1].strip())
-            found = self.cities.find(typed)
+            if (found := self.seen_typed.get(typed)) is None:
+                if len(self.seen_typed) >= MEMO:
+                    self.seen_typed.clear()
+                found = self.seen_typed[typed] = self.cities.find(typed)
             cost = lambda x: x[0] + (OTHER_COUNTRY if hint and self.cities.country.get(x[1]) != hint else 0)
             hit = min(found, key=lambda x: (round(cost(x), 6), self.order(x[1])))[1] if found else 0
             if len(self.seen_city) >= MEMO:
