@@ -18,6 +18,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.session import cut
+
 SEPARATOR = "␟"
 ABSENT = "<NULL>"
 
@@ -44,7 +46,7 @@ def canonical(key: Column, names: Column) -> Column:
             F.when(x["v"].isNull() | (F.trim(x["raw"]) == ABSENT), F.lit("!")).otherwise(F.concat(F.lit("="), x["v"])),
         ),
     )
-    return F.array_join(F.array_sort(fields), SEPARATOR)
+    return F.array_join(F.sort_array(fields), SEPARATOR)
 
 
 def keyed(df: DataFrame, key: str = "_dup_key", names: str = "_match_cols", record_id: str = "rec_id") -> DataFrame:
@@ -55,7 +57,11 @@ def keyed(df: DataFrame, key: str = "_dup_key", names: str = "_match_cols", reco
 
 def collapse(df: DataFrame, key: str = "_dup_key", names: str = "_match_cols", record_id: str = "rec_id") -> DataFrame:
     """One row per record: h128, check, keep_rec_id (the smallest id), n_copies. Counts combine before the shuffle."""
-    return keyed(df, key, names, record_id).groupBy("h128", "check").agg(F.min("rec_id").alias("keep_rec_id"), F.count("*").alias("n_copies"))
+    return _counted(keyed(df, key, names, record_id))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h128", "check").agg(F.min("rec_id").alias("keep_rec_id"), F.count("*").alias("n_copies"))
 
 
 def collisions(groups: DataFrame) -> DataFrame:
@@ -66,9 +72,10 @@ def collisions(groups: DataFrame) -> DataFrame:
 def copies(df: DataFrame, key: str = "_dup_key", names: str = "_match_cols", record_id: str = "rec_id") -> DataFrame:
     """(keep_rec_id, rec_id) of each record that copies one with a smaller id.
 
+    The digests are written once to the shared folder, as both the groups and the join read them.
     Only groups of two and more come to the join, and they come through a shuffle of their own, so that adaptive
     execution can split the rows of a hot group over many tasks and copy its single group row to each.
     """
-    groups = collapse(df, key, names, record_id).where("n_copies > 1").select("h128", "check", "keep_rec_id").repartition("h128", "check")
-    rows = keyed(df, key, names, record_id)
+    rows = cut(keyed(df, key, names, record_id))
+    groups = _counted(rows).where("n_copies > 1").select("h128", "check", "keep_rec_id").repartition("h128", "check")
     return rows.join(groups, ["h128", "check"]).where("rec_id > keep_rec_id").select("keep_rec_id", "rec_id")
