@@ -7,7 +7,7 @@ collision of the digest can never merge two records; `collapse` reports how many
 
 Defined results: a null key or a null list of names gives no group; names without a value count as absent, values
 without a name as fields named by their position; an absent field equals only an absent field; an empty field equals
-every field without letters and digits, but no absent one; combining marks belong to their letter. Repeated names are
+every field without letters and digits, but no absent one; combining marks belong to their letter; `ß` and `ss` differ. Repeated names are
 kept, in the order of their values. An empty table gives an empty result. Other columns are not read.
 """
 
