@@ -97,7 +97,9 @@ class Packer:
             self.put(self.new(), item, size)
         else:
             k = self.capacity // size
-            bin_ = self.open.setdefault(k, [self.new(), 0, self.capacity])
+            if k not in self.open:
+                self.open[k] = [self.new(), 0, self.capacity]
+            bin_ = self.open[k]
             self.put(bin_[0], item, size)
             bin_[1] += 1
             bin_[2] -= size
