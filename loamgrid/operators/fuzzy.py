@@ -18,6 +18,7 @@ from loamgrid.functions import scorers
 from loamgrid.functions import text as T
 from loamgrid.operators.components import components
 from loamgrid.operators.ids import numbered
+from loamgrid.session import cut
 
 # Names of place columns, the first that exists refines the blocks.
 PLACE_COLUMNS = ("Country", "country", "COUNTRY", "City", "city", "CITY", "State", "state", "STATE", "Region", "region")
@@ -62,22 +63,28 @@ def matches(df: DataFrame, columns: list[str], row: Column, threshold: float = 8
     pairs = left.join(right, "_block").where("src < dst")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, seen = scorers.SCORERS[scorer], {}
+        f, least_total = scorers.SCORERS[scorer], threshold - (0.5 if rounded else 0.0)
+        heavy_first = sorted(used, key=lambda x: -x[1])
         for b in batches:
-            out = [0.0] * len(b)
-            for i, w in used:
-                for k, (x, y) in enumerate(zip(b[f"a_v{i}"], b[f"b_v{i}"])):
-                    if (s := seen.get((x, y))) is None:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        s = seen[(x, y)] = 100.0 if x == y else f(x, y)
-                    out[k] += s * w / total
-            kept = [(a, c, float(round(s)) if rounded else s) for a, c, s in zip(b["src"], b["dst"], out) if (round(s) if rounded else s) >= threshold]
+            cols = {i: (b[f"a_v{i}"].tolist(), b[f"b_v{i}"].tolist()) for i, _ in used}
+            kept = []
+            for k, (src, dst) in enumerate(zip(b["src"].tolist(), b["dst"].tolist())):
+                got, rest = 0.0, total
+                for i, w in heavy_first:  # a pair is given up once the other columns' best cannot save it
+                    rest -= w
+                    x, y = cols[i][0][k], cols[i][1][k]
+                    got += w * (100.0 if x == y else f(x, y, (least_total * total - got - 100 * rest) / w))
+                    if got + 100 * rest < least_total * total - 1e-9:
+                        break
+                else:
+                    s = float(round(got / total)) if rounded else got / total
+                    if s >= threshold:
+                        kept.append((src, dst, s))
             yield pd.DataFrame(kept, columns=["src", "dst", "score"])
 
     edges = pairs.mapInPandas(score, "src long, dst long, score double")
     same = nodes.where("_n > 1").select(F.col("_node").alias("src"), F.col("_node").alias("dst"), F.lit(100.0).alias("score"))
-    every = edges.unionByName(same)
+    every = cut(edges.unionByName(same))  # the scores are made once
     comp = components(every)
     best = every.join(comp, every["src"] == comp["node"]).groupBy("component").agg(F.max("score").alias("_score"))
     same_value = [F.col(f"k.{v}") == F.col(f"n.{v}") for v in ["_block", *vals]]
