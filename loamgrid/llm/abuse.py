@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm.folding import LEET, fold
+from loamgrid.session import ship
 
 # The labels of the review.
 BAD = ("abusive", "hateful", "sexual")
@@ -265,6 +266,7 @@ _READY: dict = {}
 
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, source, score, flagged): flagged is false where the score is null."""
+    ship(docs.sparkSession)
     bad, clean = labelled(docs, labels)
     usable = len(bad) >= 2 and len(clean) >= 2
     shared = docs.sparkSession.sparkContext.broadcast((train(bad, clean), threshold(bad, clean)) if usable else (None, 0.0))

@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.session import ship
+
 CAPACITY = 4096
 CLASSES = 6
 #: Rows a worker looks at before it closes the rooms it holds open; bounds its memory, not its rows.
@@ -149,6 +151,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: st
     """(container_id, doc_id, piece, start_token, n_tokens): where each text, or piece of an over-long one, is put."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = vocabulary or vocabulary_path()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions.missing import BLANKS, is_missing, trimmed
-from loamgrid.session import bounded_collect, broadcast_if_small
+from loamgrid.session import bounded_collect, broadcast_if_small, ship
 
 #: The dictionary of a longer list would not fit a worker.
 MOST_ENTRIES = 20_000
@@ -261,6 +261,7 @@ class Mapper:
 def mapped(df: DataFrame, places: DataFrame, row_id: str = "row_id", city: str = "city", country: str = "country") -> DataFrame:
     """(row_id, city, country, city_ref, country_ref): refs are null for missing values and 0 for misses."""
     spark = df.sparkSession
+    ship(spark)
     cols = ("place_kind", "ref_id", "ref_value", "place_code", "country_ref_id", "alt_names")
     rows = bounded_collect(places.select(*cols).where("ref_id is not null and ref_value is not null"), MOST_ENTRIES, "the reference list")
     entries = [tuple(None if pd.isna(v) else v for v in r) for r in rows]
