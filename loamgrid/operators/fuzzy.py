@@ -18,7 +18,7 @@ from loamgrid.functions import scorers
 from loamgrid.functions import text as T
 from loamgrid.operators.components import components
 from loamgrid.operators.ids import numbered
-from loamgrid.session import cut
+from loamgrid.session import cut, ship
 
 # Names of place columns, the first that exists refines the blocks.
 PLACE_COLUMNS = ("Country", "country", "COUNTRY", "City", "city", "CITY", "State", "state", "STATE", "Region", "region")
@@ -48,6 +48,7 @@ def matches(df: DataFrame, columns: list[str], row: Column, threshold: float = 8
 
     A group's score is its best edge. Equal rows are one value with several rows, linked at 100 without a comparison.
     """
+    ship(df.sparkSession)
     weights = weights or [1.0] * len(columns)
     used = [(i, w) for i, w in enumerate(weights) if w > 0]
     total = sum(w for _, w in used)
@@ -117,6 +118,7 @@ def value_clusters(values: DataFrame, column: str, threshold: float = 85, most:
     Leaders depend on order, so distinct values are clustered in one group, in their order; the studio's rule finds
     nothing beyond `most` values, and says so by an empty result. Equal spellings (score 100) form no cluster.
     """
+    ship(values.sparkSession)
     distinct = values.where(F.col(column).isNotNull() & (T.strip(F.col(column)) != "")).groupBy(F.col(column).alias("value")).agg(F.lit(0).alias("_g"))
     few = distinct.limit(most + 1).count() <= most
 

@@ -126,6 +126,9 @@ def leader_groups(rows: DataFrame, column: str, row: Column, threshold: float =
     import pandas as pd
 
     from loamgrid.functions.scorers import difflib_ratio
+    from loamgrid.session import ship
+
+    ship(rows.sparkSession)
 
     distinct = rows.select(F.lower(T.strip(F.col(column))).alias("v"), row.cast("long").alias("r")).where("v is not null and v <> ''").groupBy("v").agg(F.min("r").alias("r"), F.lit(0).alias("_g"))
     if distinct.limit(most + 1).count() > most:
