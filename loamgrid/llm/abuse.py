@@ -18,7 +18,7 @@ Words are folded first: look-alike letters, hidden signs, digits and signs for l
 letters and case. Words that neither class saw count nothing.
 
 Bounds: the models are fitted on at most MOST_BAD and MOST_CLEAN labelled documents, those with the smallest hash of
-their id. Everything else reads every line of every document.
+their id. Everything else reads every line of every document but the exact headers of commits and files (`lines_of`).
 
 Defined results: a null or empty text scores null and is no case; labels that are null, and labels of unknown
 documents, are left out; without labels of both kinds every score is null; equal texts score equally; a null source is
@@ -55,7 +55,13 @@ MEMO = 400_000
 _RAW = re.compile(r"[$!@]*[^\W_]+(?:[$!@*]+[^\W_]+)*")
 _APART = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._*-])[^\W\d_](?:\1[^\W\d_])+)(?![^\W_])")
 _TWICE = re.compile(r"(.)\1+")
-_HEADER = re.compile(r"(?:commit |Merge: |Author:|Date:|index |diff --git |--- |\+\+\+ |@@ )")
+# Exact forms of header lines. They count as headers only where such a header stands.
+_COMMIT = re.compile(r"commit [0-9a-f]{7,64}$")
+_TOP = re.compile(r"(?:Merge: [0-9a-f ]+|Author: .*<[^<>]*>|Date: .*[0-9]{2}:[0-9]{2}:[0-9]{2} .*)$")
+_DIFF = re.compile(r'diff --git "?a/.* "?b/')
+_INDEX = re.compile(r"index [0-9a-f]+(?:,[0-9a-f]+)*\.\.[0-9a-f]+(?: [0-7]+)?$")
+_OLD, _NEW = re.compile(r'--- (?:"?a/|/dev/null$)'), re.compile(r'\+\+\+ (?:"?b/|/dev/null$)')
+_HUNK = re.compile(r"@@ -[0-9]+(?:,[0-9]+)? \+[0-9]+(?:,[0-9]+)? @@")
 
 
 def canonical(token: str) -> str:
@@ -74,8 +80,21 @@ def canonical(token: str) -> str:
 
 
 def lines_of(text: str) -> list[str]:
-    """A document's lines but for the headers that name its commit, files and places."""
-    return [line for line in text.split("\n") if not _HEADER.match(line)]
+    """A document's lines but for the headers that name its commit and files; of a hunk's header the text behind the numbers.
+
+    A header is told by its form and its place: Merge, Author and Date stand below a commit's line, the names of a
+    file's two sides below each other. What only begins like one, such as a removed `-- comment`, is a line.
+    """
+    lines, out, top = text.split("\n"), [], False
+    for i, line in enumerate(lines):
+        c = line[:1]
+        top = c == "c" and bool(_COMMIT.match(line)) or top and c in ("M", "A", "D") and bool(_TOP.match(line))
+        if top or c == "d" and _DIFF.match(line) or c == "i" and _INDEX.match(line):
+            continue
+        if c == "-" and _OLD.match(line) and i + 1 < len(lines) and _NEW.match(lines[i + 1]) or c == "+" and _NEW.match(line) and i and _OLD.match(lines[i - 1]):
+            continue
+        out.append(line[m.end() :] if c == "@" and (m := _HUNK.match(line)) else line)
+    return out
 
 
 def tokens_of(line: str) -> list[str]:

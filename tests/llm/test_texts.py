@@ -128,6 +128,18 @@ def test_models_find_held_out_documents():
     assert m.score([None, "", "...", hidden[0], hidden[0]])[:3] == [None, None, None]
 
 
+def test_lines_that_only_begin_like_headers_are_scored():
+    header = ["commit 0123456789abcdef", "Author: Tove B <t@x.example>", "Date:   2024-01-02 03:04:05 +0000"]
+    diff = ["diff --git a/x.sql b/x.sql", "index 0a1b2c3..4d5e6f7 100644", "--- a/x.sql", "+++ b/x.sql"]
+    c = corpus(seed=1)
+    m, limit = abuse.train([t for t, b in c if b], [t for t, b in c if not b]), abuse.threshold([t for t, b in c if b], [t for t, b in c if not b])
+    ugly = "shut up Nils, you worthless idiot"
+    begun = [start + ugly for start in ("--- ", "+++ ", "index ", "commit ", "Author: ", "Date: ", "Merge: ", "diff --git ", "@@ ", "@@ -1,2 +3,4 @@ ")]
+    texts = ["\n".join([*header, "", "    fix the parser", "", *diff, "@@ -1,2 +3,4 @@", line, "+fix the cache"]) for line in begun]
+    assert all(s is not None and s > limit for s in m.score(texts))
+    assert abuse.lines_of("\n".join([*header, *diff, "@@ -1 +1 @@ def f():", "--- a/b c"])) == [" def f():", "--- a/b c"]
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     import numpy as np
 
