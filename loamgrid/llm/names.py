@@ -7,7 +7,9 @@ are written out. Two rows stand for the same vendor if their cores are variants
 Cores are found by suffix blocking: each core is indexed under the suffixes of its words, of MIN_SUFFIX letters, and
 as such suffixes are shared by many names, each is refined by the first letters of the core's other part. A tax
 number, mail address or telephone number makes a block of its own; one on more than SHARED rows is refined by the
-suffixes in turn. No block is discarded. Inside a block, which is read
+beginnings and suffixes of the words and by the initials of each two words, so that every core, an acronym too, has a
+block there. Such a contact may stand for many vendors: an acronym goes to the leader that more than half of the
+distinct cores with its initials follow, and to none without one. No block is discarded. Inside a block, which is read
 in sorted order as a stream, a core is compared only with the leaders found so far, by the ratio of the longest
 common subsequence; a core that resembles none becomes a leader. Only distinct cores reach a block, so the copies of a
 hot name are gone before the shuffle, and a worker keeps a block's leaders only. Links are joined to families by label
@@ -47,6 +49,8 @@ PREFIX = 3
 SHARED = 200
 #: So many shared contacts are broadcast at most; more are joined by a shuffle.
 MOST_HOT = 100_000
+#: What a block stands for: parts of a name, a contact, initials within a shared contact.
+NAME, CONTACT, INITIALS = 0, 1, 2
 #: A core of fewer letters is an acronym: it is a name only together with a contact.
 SHORT = 5
 #: Least ratio of the longest common subsequence for two cores, and for two cores that share a contact.
@@ -245,6 +249,13 @@ def parsed(df: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.xxhash64(F.when(F.length(whole) < SHORT, own).otherwise(whole)))
 
 
+def _initials(words: F.Column, whole: F.Column) -> F.Column:
+    """The first letters of each two words of a core in order; of an acronym its first two letters, of one word its first."""
+    firsts = F.array_sort(F.when(F.length(whole) < SHORT, F.array(F.substring(whole, 1, 1), F.substring(whole, 2, 1))).otherwise(F.transform(words, lambda w: F.substring(w, 1, 1))))
+    pairs = F.flatten(F.transform(firsts, lambda a, i: F.transform(F.slice(firsts, i + 2, F.size(firsts)), lambda b: F.concat(F.lit("="), a, b))))
+    return F.array_distinct(F.when(F.size(firsts) > 1, pairs).otherwise(F.transform(firsts, lambda a: F.concat(F.lit("="), a))))
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """(block, text, contact, core): each core under its refined suffixes, once for each block."""
     words = F.split("core", " ")
@@ -254,7 +265,7 @@ def blocks(rows: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size(words) - 1),
         lambda i: F.struct(F.array_join(F.slice(words, i + 1, F.size(words)), "").alias("b"), F.array_join(F.slice(words, F.lit(1), i), "").alias("a")),
     )
-    turned = F.transform(parts, lambda x: key((F.substring(F.concat(x["b"], x["a"]), 1, PREFIX), F.right(F.concat(x["b"], x["a"]), F.lit(MIN_SUFFIX))), F.concat(x["b"], x["a"]), False))
+    turned = F.transform(parts, lambda x: key((F.substring(F.concat(x["b"], x["a"]), 1, PREFIX), F.right(F.concat(x["b"], x["a"]), F.lit(MIN_SUFFIX))), F.concat(x["b"], x["a"]), NAME))
     ordered = F.array_join(F.array_sort(words), "")
     # The turns of a core need no contact: they are made once for each distinct core.
     turns = rows.where(F.length(whole) >= SHORT).select("node", "core").distinct().select("node", F.explode(turned).alias("_k")).select("node", "_k.*")
@@ -262,9 +273,11 @@ def blocks(rows: DataFrame) -> DataFrame:
     contacts = cut(rows.where("pan is not null or mail is not null or phone is not null").select("node", "core", F.explode(given).alias("block")))
     hot = cut(contacts.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > SHARED).select("block"))
     hot = broadcast_if_small(hot, MOST_HOT)
-    own = contacts.join(hot, "block", "left_anti").select("node", "block", ordered.alias("text"), F.lit(True).alias("contact"))
+    own = contacts.join(hot, "block", "left_anti").select("node", "block", ordered.alias("text"), F.lit(CONTACT).alias("contact"))
     ending = F.transform(F.filter(words, lambda w: F.length(w) >= MIN_SUFFIX), lambda w: F.right(w, F.lit(MIN_SUFFIX)))
-    refined = contacts.join(hot, "block", "left_semi").select("node", "block", ordered.alias("text"), F.explode(ending).alias("_s")).select("node", F.xxhash64("block", "_s").alias("block"), "text", F.lit(True).alias("contact"))
+    starting = F.transform(F.filter(words, lambda w: F.length(w) >= MIN_SUFFIX), lambda w: F.concat(F.left(w, F.lit(MIN_SUFFIX)), F.lit("-")))
+    shared = contacts.join(hot, "block", "left_semi").select("node", "block", ordered.alias("text"), F.explode(F.array_union(*(F.transform(k, lambda x: F.struct(x.alias("s"), F.lit(c).alias("contact"))) for k, c in ((F.array_union(ending, starting), CONTACT), (_initials(words, whole), INITIALS))))).alias("_k"))
+    refined = shared.select("node", F.xxhash64("block", "_k.s").alias("block"), "text", "_k.contact")
     columns = ["node", "block", "text", "contact"]
     return turns.select(columns).unionByName(own).unionByName(refined).withColumn("size", -F.length("text"))
 
@@ -284,19 +297,28 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
         for k, text, contact, node in zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("block", "text", "contact", "node"))):
             if k != block:
-                block, leaders, seen = k, [(text, node)], {node}
+                block, leaders, seen = k, [[text, node, 1]], {node}
                 continue
             if node in seen:
                 continue
             seen.add(node)
+            if contact == INITIALS and len(text) < SHORT:  # acronyms come last in their block
+                fits = [(m, n) for t, n, m in leaders if len(t) >= SHORT]
+                most, n = max(fits, key=lambda x: x[0], default=(0, node))
+                if 2 * most > sum(m for m, _ in fits):
+                    src.append(node)
+                    dst.append(n)
+                continue
             least = ALIKE_CONTACT if contact else ALIKE
-            for t, n in leaders:
+            for leader in leaders:
+                t, n, _ = leader
                 if t == text or ratio(t, text) >= least or contact and _abbreviated(t, text):
                     src.append(node)
                     dst.append(n)
+                    leader[2] += 1
                     break
             else:
-                leaders.append((text, node))
+                leaders.append([text, node, 1])
         yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
 

@@ -158,6 +158,19 @@ def test_vendor_pairs(spark):
     assert v[14] == (1, 5) and v[4] == (4, 1) and 10 not in v and 11 not in v
 
 
+def test_a_contact_on_many_rows_still_links_acronyms_and_other_endings(spark):
+    phone = "+49 30 1234567"
+    known = [(i, "Fovgekdid Tolmuvar Papers Ltd", phone) for i in range(names.SHARED + 5)]
+    odd = [(1000, "FTP LLP", phone), (1001, "F.T. Ltd", phone), (1002, "Fovgekdib Tolmuvas Papers Ltd", phone), (1003, "Bolgidrex Nusvarhim Papers Ltd", phone), (1004, "BNP LLP", None)]
+    df = spark.createDataFrame([(i, n, None, None, None, t, None, 0) for i, n, t in known + odd], VENDOR)
+    got = {r["row_id"]: r["vendor_row_id"] for r in names.vendors(df.repartition(4)).collect()}
+    assert [got[i] for i in (1000, 1001, 1002, 1003, 1004)] == [0, 0, 0, 1003, 1004]
+    two = [(2000, "Fursilgop Tagvorwin Foods Ltd", phone), (2001, "FT Ltd", phone)]  # a vendor with as many spellings: the acronym is undecided
+    df = spark.createDataFrame([(i, n, None, None, None, t, None, 0) for i, n, t in known + two], VENDOR)
+    got = {r["row_id"]: r["vendor_row_id"] for r in names.vendors(df).collect()}
+    assert got[2001] == 2001 and got[2000] == 2000 and got[1] == 0
+
+
 def test_links_do_not_depend_on_partitions(spark):
     rnd = random.Random(5)
     syll = ["fov", "gek", "did", "mor", "fux", "vim", "tol", "ban", "rir", "sot"]
