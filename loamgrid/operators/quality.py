@@ -8,8 +8,9 @@ of all rows share costs one row after the combine.
 Expressions are induced by minimum description length. Each distinct value is turned into a sequence of runs of one
 character class (upper, lower, digit, blank, or the sign itself); values of one sequence form a shape. A shape is
 described either as such, with exact or free run lengths, or by the general expression `.*`; the set of expressions
-with the shortest total of model bits and value bits is kept. Sequences of more than MOST_RUNS runs count as one
-open shape, so the shapes of a column are bounded by the alphabet of classes and not by the rows.
+with the shortest total of model bits and value bits is kept. Sequences of more than MOST_RUNS runs are merged to
+groups of like words, and those of more than MOST_GROUPS groups to the set of their characters, so the shapes of a
+column are bounded by the alphabet of classes and signs and not by the rows, and every value has a shape.
 
 Defined results: nulls and other missing values are counted, and take no part in any other measure but `mix`; a column
 without values has null shares, and no finding but `missing` and `mix`; an empty table gives an empty result; repeated
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from loamgrid.functions.missing import is_missing
 from loamgrid.session import bounded_collect, ship
 
-MOST_RUNS = 12
+#: Runs of a shape, and groups of words of a longer one (3 + 2 lengths each).
+MOST_RUNS, MOST_GROUPS = 12, 4
 #: Rules and profiled columns come to the driver; there are as many as a person wrote.
 MOST_RULES = 10_000
 NUMBER = r"-?[0-9]+(\.[0-9]+)?"
@@ -133,25 +135,59 @@ def findings(all_changes: DataFrame, limits: dict = SHARE) -> DataFrame:
 # Induced expressions
 
 
+def _marked(c: F.Column) -> F.Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[0-9]", "\u0001"), r"\p{Lu}", "\u0002"), r"\p{L}", "\u0003"), r"\s", "\u0004")
+
+
 def shape(c: F.Column) -> F.Column:
-    """A value's runs: U, L, D, S and signs, each with its length, such as `U5 D4 U1`; `*` beyond MOST_RUNS runs."""
-    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[0-9]", "\u0001"), r"\p{Lu}", "\u0002"), r"\p{L}", "\u0003"), r"\s", "\u0004")
-    runs = F.regexp_extract_all(marked, F.lit(r"(\u0001+|\u0002+|\u0003+|\u0004+|[^\u0001-\u0004])"), F.lit(1))
+    """A value's runs: U, L, D, S and signs, each with its length, such as `U5 D4 U1`; null beyond MOST_RUNS runs."""
+    runs = F.regexp_extract_all(_marked(c), F.lit(r"(\u0001+|\u0002+|\u0003+|\u0004+|[^\u0001-\u0004])"), F.lit(1))
     kind = F.lit("DULS")
     text = F.transform(runs, lambda r: F.when(F.ascii(r) <= 4, F.concat(F.substring(kind, F.ascii(r), F.lit(1)), F.length(r).cast("string"))).otherwise(F.concat(F.lit("'"), r)))
-    return F.when(F.size(runs) > MOST_RUNS, F.lit("*")).otherwise(F.array_join(text, "\u001f"))
+    return F.when(F.size(runs) <= MOST_RUNS, F.array_join(text, "\u001f"))
+
+
+def _signs(c: F.Column) -> F.Column:
+    """The distinct characters of a marked string in order."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))), "")
+
+
+def long_shape(c: F.Column) -> F.Column:
+    """struct(kinds, lo, hi) of a value of many runs.
+
+    Words of the same characters are one repeated group: `W` and the groups' characters, with the lengths of the blanks
+    before, between and behind the words, and of each group the lengths and the number of its words. Values of more than
+    MOST_GROUPS groups are `C` and their characters, with the length.
+    """
+    m = _marked(c)
+    words = F.transform(F.regexp_extract_all(m, F.lit(r"([^\u0004]+)"), F.lit(1)), lambda w: F.struct(_signs(w).alias("k"), F.length(w).alias("lo"), F.length(w).alias("hi"), F.lit(1).alias("n")))
+    join = lambda g, w: F.struct(w["k"].alias("k"), F.least(g["lo"], w["lo"]).alias("lo"), F.greatest(g["hi"], w["hi"]).alias("hi"), (g["n"] + 1).alias("n"))
+    empty = F.array().cast("array<struct<k: string, lo: int, hi: int, n: int>>")
+    groups = F.aggregate(
+        words, empty, lambda acc, w: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["k"] == w["k"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(join(F.get(acc, F.size(acc) - 1), w)))).otherwise(F.concat(acc, F.array(w)))
+    )
+    blanks = F.transform(F.regexp_extract_all(F.regexp_replace(m, r"^\u0004+|\u0004+$", ""), F.lit(r"(\u0004+)"), F.lit(1)), F.length)
+    edge = lambda at: F.length(F.regexp_extract(m, at, 1))
+    ends = lambda between: [edge(r"^(\u0004+)"), F.coalesce(between, F.lit(1)), edge(r"(\u0004+)$")]
+    of = lambda b, k: F.concat(F.array(*ends(b)), F.flatten(F.transform(groups, lambda g: F.array(g[k], g["n"]))))
+    worded = F.struct(F.concat(F.lit("W\u001f"), F.array_join(F.transform(groups, lambda g: g["k"]), "\u001f")).alias("kinds"), of(F.array_min(blanks), "lo").alias("lo"), of(F.array_max(blanks), "hi").alias("hi"))
+    whole = F.struct(F.concat(F.lit("C\u001f"), _signs(m)).alias("kinds"), F.array(F.length(m)).alias("lo"), F.array(F.length(m)).alias("hi"))
+    return F.when((F.size(groups) <= MOST_GROUPS) & ~F.contains(c, F.lit("\u001f")), worded).otherwise(whole)
 
 
 def shapes(counts: DataFrame) -> DataFrame:
-    """(table_name, column_name, load_id, kinds, lo, hi, n_values, n_rows, len_sum): shapes with the lengths of their runs."""
-    s = counts.where("value is not null").select("table_name", "column_name", "load_id", "n", F.length("value").alias("len"), shape(F.col("value")).alias("s"))
+    """(table_name, column_name, load_id, kinds, lo, hi, n_values, n_rows, len_sum, len_lo, len_hi): shapes with the lengths of their runs."""
+    s = counts.where("value is not null").select("table_name", "column_name", "load_id", "n", "value", F.length("value").alias("len"), shape(F.col("value")).alias("s"))
     runs = F.split("s", "\u001f")
-    kinds = F.when(F.col("s") == "*", F.lit("*")).otherwise(F.array_join(F.transform(runs, lambda r: F.when(r.startswith("'"), r).otherwise(F.substring(r, 1, 1))), "\u001f"))
-    sized = s.select("table_name", "column_name", "load_id", "n", "len", kinds.alias("kinds"), F.transform(runs, lambda r: F.coalesce(F.when(~r.startswith("'"), F.substring(r, 2, 10).try_cast("int")), F.lit(1))).alias("_l"))
-    # The bounds of each run are plain min and max columns, so they combine map-side.
-    return sized.groupBy("table_name", "column_name", "load_id", "kinds").agg(
-        *(F.min(F.get("_l", F.lit(i))).alias(f"lo{i}") for i in range(MOST_RUNS)), *(F.max(F.get("_l", F.lit(i))).alias(f"hi{i}") for i in range(MOST_RUNS)), F.count("*").alias("n_values"), F.sum("n").alias("n_rows"), F.sum("len").alias("len_sum")
-    )
+    kinds = F.array_join(F.transform(runs, lambda r: F.when(r.startswith("'"), r).otherwise(F.substring(r, 1, 1))), "\u001f")
+    sizes = F.transform(runs, lambda r: F.coalesce(F.when(~r.startswith("'"), F.substring(r, 2, 10).try_cast("int")), F.lit(1)))
+    form = F.when(F.col("s").isNull(), long_shape(F.col("value"))).otherwise(F.struct(kinds.alias("kinds"), sizes.alias("lo"), sizes.alias("hi")))
+    sized = s.select("table_name", "column_name", "load_id", "n", "len", form.alias("_f"))
+    # The bounds of each run are plain min and max columns, so they combine map-side. Long shapes have at most as many.
+    return sized.groupBy("table_name", "column_name", "load_id", F.col("_f.kinds").alias("kinds")).agg(
+        *(F.min(F.get("_f.lo", F.lit(i))).alias(f"lo{i}") for i in range(MOST_RUNS)), *(F.max(F.get("_f.hi", F.lit(i))).alias(f"hi{i}") for i in range(MOST_RUNS)),
+        F.count("*").alias("n_values"), F.sum("n").alias("n_rows"), F.sum("len").alias("len_sum"), F.min("len").alias("len_lo"), F.max("len").alias("len_hi"),
+    )
 
 
 _BITS = {"D": log2(10), "U": log2(26), "L": log2(26), "S": 1.0}
@@ -173,25 +209,73 @@ def _expression(kinds: str, lo: list[int], hi: list[int]) -> tuple[str, float, f
     return out, model, free
 
 
+def _bounds_of(kinds: str) -> int:
+    """How many lengths a shape has."""
+    parts = len(kinds.split("\u001f"))
+    return {"W": 2 * parts + 1, "C": 1}.get(kinds[:1], parts)
+
+
+def _times(a: int, b: int) -> str:
+    return "" if a == b == 1 else f"{{{a}}}" if a == b else f"{{{a},{b}}}"
+
+
+def _set(signs: str) -> tuple[str, int]:
+    """A set of marked characters as an expression, and the number of characters it stands for."""
+    own = "".join(x if x.isalnum() else "\\" + x for x in signs if x > "\u0004")
+    named = [(r"0-9", 10), (r"\p{Lu}", 26), (r"\p{L}", 26), (r"\s", 2)]
+    used = [named[ord(x) - 1] for x in signs if x <= "\u0004"]
+    return "[" + "".join(t for t, _ in used) + own + "]", sum(n for _, n in used) + sum(x > "\u0004" for x in signs)
+
+
+def _long_expressions(kinds: str, lo: list[int], hi: list[int], n: int, length: int, bounds: tuple[int, int]) -> list[tuple[str, float, float]]:
+    """(expression, model bits, bits a value) of a long shape: its groups of words, and the set of its characters."""
+    form, groups = kinds[0], kinds[2:].split("\u001f") if kinds[0] == "W" else [kinds[2:]]
+    signs = "".join(sorted(set("".join(groups)) | ({"\u0004"} if form == "W" else set())))
+    text, size = _set(signs)
+    whole = lambda a, b: 8 * sum(x > "\u0004" for x in signs) + 6 + 2 * log2(a + 1) + 2 * log2(b + 1)
+    out = [(text + _times(*bounds), whole(*bounds), log2(size) * length / n + log2(bounds[1] - bounds[0] + 1))]
+    if form == "W":
+        blank = r"\s" + _times(lo[1], hi[1])
+        parts, model, chars, size, free = [], 4.0, 0.0, 1, 0.0
+        for i, g in enumerate(groups):
+            (a, m), (b, k) = lo[3 + 2 * i : 5 + 2 * i], hi[3 + 2 * i : 5 + 2 * i]
+            text, size_of = _set(g)
+            word = text + _times(a, b)
+            parts.append(word + (f"(?:{blank}{word})" + _times(m - 1, k - 1) if k > 1 else ""))
+            size = max(size, size_of)
+            free += (m + k) / 2 * log2(b - a + 1) + log2(k - m + 1)
+            model += 8 * sum(x > "\u0004" for x in g) + 6 + 2 * sum(log2(x + 1) for x in (a, b, m, k))
+        edges = ["" if hi[i] == 0 else r"\s" + _times(lo[i], hi[i]) for i in (0, 2)]
+        free += sum(log2(hi[i] - lo[i] + 1) for i in (0, 2))
+        out.append((edges[0] + blank.join(parts) + edges[1], model, log2(size) * length / n + free))
+    return out
+
+
 def induce_column(pdf: pd.DataFrame) -> pd.DataFrame:
     """Expressions of one column from its shapes over all loads, by minimum description length.
 
     A shape pays for itself if writing its expression costs less than what its values save against `.*`. The rows of
     pdf are the shapes of one column, whose number is bounded by MOST_RUNS and the classes.
     """
-    merged: dict = defaultdict(lambda: [None, None, 0, 0])
+    merged: dict = defaultdict(lambda: [None, None, 0, 0, 2**31, 0])
     for r in pdf.itertuples(index=False):
-        k = len(r.kinds.split("\u001f")) if r.kinds != "*" else 0
+        k = _bounds_of(r.kinds)
         lo, hi = [int(getattr(r, f"lo{i}")) for i in range(k)], [int(getattr(r, f"hi{i}")) for i in range(k)]
         m = merged[r.kinds]
         m[0] = lo if m[0] is None else [min(a, b) for a, b in zip(m[0], lo)]
         m[1] = hi if m[1] is None else [max(a, b) for a, b in zip(m[1], hi)]
         m[2] += int(r.n_values)
         m[3] += int(r.len_sum)
+        m[4], m[5] = min(m[4], int(r.len_lo)), max(m[5], int(r.len_hi))
     total = max(1, sum(m[2] for m in merged.values()))
     out = []
-    for kinds, (lo, hi, n, length) in sorted(merged.items(), key=lambda x: (-x[1][2], x[0])):
-        if kinds in ("*", ""):
+    for kinds, (lo, hi, n, length, *bounds) in sorted(merged.items(), key=lambda x: (-x[1][2], x[0])):
+        if kinds == "":
+            continue
+        if kinds[0] in "WC":
+            cost, text = min((model + n * (bits - log2(n / total)), text) for text, model, bits in _long_expressions(kinds, lo, hi, n, length, tuple(bounds)))
+            if cost < _ANY_BITS * length:
+                out.append((kinds, text, n, cost))
             continue
         text, model, free = _expression(kinds, lo, hi)
         avg = [(a + b) / 2 for a, b in zip(lo, hi)]

@@ -1,5 +1,6 @@
 """Column profiles between loads, induced expressions, files and streams."""
 
+import random
 import re
 
 import pytest
@@ -41,6 +42,21 @@ def test_expressions_cover_their_values(spark):
     assert quality.induce(s.limit(0)).count() == 0
 
 
+def test_values_of_many_runs_get_expressions(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 9))).capitalize()
+    rows = [(1, " ".join(word() for _ in range(rnd.randrange(7, 11)))) for _ in range(150)] + [(2, ". ".join(word() for _ in range(8)) + " [old] x-1 \t a.b (c) z9 " + word()) for _ in range(150)]
+    rows += [(2, " a1 b2  c3 d4 e5 f6 "), (2, "A\u001fB c D e F g H i J k L m"), (2, "\U0001f600" * 20)]
+    df = spark.createDataFrame(rows, "load_id int, v string")
+    counts = quality.value_counts(df, quality.Watch("t", ("v",)))
+    s = quality.shapes(counts)
+    kept = quality.induce(s)
+    assert s.agg(F.sum("n_values")).first()[0] == counts.count()
+    assert {r["load_id"] for r in quality.coverage(s, kept).where("expression is not null").collect()} == {1, 2}
+    met = counts.select("value", quality.long_shape(F.col("value"))["kinds"].alias("kinds")).join(kept, "kinds").selectExpr("value", r"rlike(value, concat('\\A(?:', expression, ')\\z')) as fits").collect()
+    assert len(met) >= 300 and all(r["fits"] for r in met)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text(' id ,name,empty\n1,"x, ""y""",\n2,,\n,,\n')
     df = files.read(spark, str(tmp_path / "a.csv"))
