@@ -1,19 +1,23 @@
 """Variant spellings of vendor names linked to one vendor each (problem 1).
 
 A name is parsed into its core (the words that are its own), its kind (a person's given name or an organisation's
-line of business) and nothing else: legal forms, titles, notes and branch marks fall away, nicknames and abbreviations
-are written out. Two rows stand for the same vendor if their cores are variants of one another and their kinds agree.
-
-Cores are found by suffix blocking: each core is indexed under the suffixes of its words, of MIN_SUFFIX letters, and
-as such suffixes are shared by many names, each is refined by the first letters of the core's other part. A tax
-number, mail address or telephone number makes a block of its own; one on more than SHARED rows is refined by the
-beginnings and suffixes of the words and by the initials of each two words, so that every core, an acronym too, has a
-block there. Such a contact may stand for many vendors: an acronym goes to the leader that more than half of the
-distinct cores with its initials follow, and to none without one. No block is discarded. Inside a block, which is read
-in sorted order as a stream, a core is compared only with the leaders found so far, by the ratio of the longest
-common subsequence; a core that resembles none becomes a leader. Only distinct cores reach a block, so the copies of a
-hot name are gone before the shuffle, and a worker keeps a block's leaders only. Links are joined to families by label
-propagation over tables in the shared folder.
+line of business) and nothing else: legal forms, titles, notes in brackets or behind a dash and account numbers fall
+away, nicknames and abbreviations are written out. Two rows stand for the same vendor if their cores are variants of
+one another and their kinds agree.
+
+Cores are found by suffix blocking. Each distinct core is indexed under the suffix of MIN_SUFFIX letters of each of
+its words. A suffix of up to COMMON cores is a block as it is. A commoner one is refined, not discarded: by the first
+letters and, apart from that, by the last letters of the core's other words, so that a typing error in either place
+leaves one block in common. A refined block of more than CROWDED cores is refined again by more letters; as it cannot
+be larger than its suffix, only the suffixes beyond that size are counted again. A tax number, mail address or
+telephone number makes a block of its own; one on more than SHARED rows is refined by the beginnings and suffixes of
+the words. Such a contact may stand for many vendors: an acronym there that nothing else links goes to the family that
+holds more than half of the distinct cores with its initials, and to none without one.
+
+Inside a block, which is read in sorted order as a stream, a core is compared with the cores of every cluster that it
+does not belong to yet, by the ratio of the longest common subsequence, and joins each cluster that holds one like it.
+Cores must also agree word by word, at least roughly: New X, Old X and X stay apart unless they share a contact. Only distinct cores reach a block, so the copies of a hot name are gone before the shuffle. Links are
+joined to families by label propagation over tables in the shared folder.
 
 Within a family, kinds separate the vendors: rows of different given names or lines of business are different
 vendors. A row without a kind, or with an initial only, goes to the vendor whose tax number, mail address or telephone
@@ -41,28 +45,33 @@ from pyspark.sql import functions as F
 from loamgrid.functions.missing import is_missing
 from loamgrid.llm.folding import fold
 from loamgrid.operators.components import components
-from loamgrid.session import broadcast_if_small, cut, ship
+from loamgrid.session import broadcast_if_small, cut, drop_cut, ship
 
 MIN_SUFFIX = 5
-PREFIX = 3
+#: A suffix of more distinct cores is refined by the other words; a refined block of more is refined further.
+COMMON, CROWDED = 24, 400
+#: Letters at the begin and at the end of the other words, for each step of the refinement; at last all of them.
+STEPS = ((2, 3), (4, 5), (8, 9), (1_000_000, 1_000_000))
 #: A contact on more rows than this is shared by many vendors and must be refined by a suffix.
 SHARED = 200
-#: So many shared contacts are broadcast at most; more are joined by a shuffle.
+#: So many shared contacts or common suffixes are broadcast at most; more are joined by a shuffle.
 MOST_HOT = 100_000
-#: What a block stands for: parts of a name, a contact, initials within a shared contact.
-NAME, CONTACT, INITIALS = 0, 1, 2
+#: For cores without a contact in common: least ratio of two words that stand in one place, and of words that count as found.
+WORD_ALIKE, WORD_FOUND = 0.5, 0.85
+#: What a block stands for: parts of a name, or a contact.
+NAME, CONTACT = 0, 1
 #: A core of fewer letters is an acronym: it is a name only together with a contact.
 SHORT = 5
 #: Least ratio of the longest common subsequence for two cores, and for two cores that share a contact.
 ALIKE, ALIKE_CONTACT = 0.82, 0.72
 
 # Words of legal forms, and words that join the parts of a name.
-LEGAL = frozenset("ltd limited llp lp co coy company corp corpn corporation inc incorporated pvt private plc gmbh sa ag nv bv llc prop proprietor sons sns son bros brothers and of the group holdings".split())
+LEGAL = frozenset("ltd limited llp lp co coy company corp corpn corporation inc incorporated pvt private plc gmbh sa ag nv bv llc prop proprietor sons sns son bros brothers and of the".split())
 # Spellings of one sound, and the letter that stands for it.
-SOUNDS = (("ph", "f"), ("ks", "x"), ("ck", "k"), ("y", "i"), ("w", "v"), ("c", "k"), ("q", "k"), ("z", "s"), ("j", "i"))
-# Titles before a name, and words that mark a branch or a state of the record.
+SOUNDS = (("ph", "f"), ("ks", "x"), ("ck", "k"))
+SOUND_LETTERS = str.maketrans("ywcqzj", "ivkksi")
+# Titles before a name.
 TITLES = frozenset("mr mrs ms miss dr prof sir messrs".split())
-NOTES = frozenset("old new hq main head office branch closed inactive duplicate dup do not use".split())
 # Lines of business.
 LINES = (
     "agencies", "apparel", "associates", "automotive", "builders", "castings", "cements", "ceramics", "chemicals", "construction", "consultants", "electricals", "electronics", "energy", "engineering", "enterprises", "exports",
@@ -84,12 +93,13 @@ for _name, _short in NICKNAMES.items():
     for _s in (_name, *_short.split()):
         _FORMAL[_s] = _FORMAL.get(_s, frozenset()) | {_name}
 _LINE_FORMS = {f: x for x in LINES for f in (x, x + "s", x[:-1] if x[-1] == "s" else x, x[:-3] + "y" if x.endswith("ies") else x)}
-_LINES_BY_START, _LINES_BY_END, _NAMES_BY_START = defaultdict(set), defaultdict(set), defaultdict(set)
+_LINES_BY_START, _LINES_BY_END, _LINES_BY_LETTER, _NAMES_BY_START = defaultdict(list), defaultdict(list), defaultdict(list), defaultdict(list)
 for _line in LINES:
-    _LINES_BY_START[_line[:2]].add(_line)
-    _LINES_BY_END[_line[-3:]].add(_line)
+    _LINES_BY_START[_line[:2]].append(_line)
+    _LINES_BY_END[_line[-3:]].append(_line)
+    _LINES_BY_LETTER[_line[0]].append(_line)
 for _name in NICKNAMES:
-    _NAMES_BY_START[_name[0]].add(_name)
+    _NAMES_BY_START[_name[0]].append(_name)
 
 
 def lcs(a: str, b: str) -> int:
@@ -126,15 +136,17 @@ def line_of(word: str) -> tuple[int, str]:
     """(strength, line of business): 3 for the word itself or its other number, 2 for a misspelling, 1 for an abbreviation, 0 for none."""
     if word in _LINE_FORMS:
         return 3, _LINE_FORMS[word]
-    near = (_LINES_BY_START.get(word[:2], set()) | _LINES_BY_END.get(word[-3:], set())) if len(word) >= 6 else ()
-    best = max(((ratio(word, x), x) for x in near if abs(len(x) - len(word)) < 4), default=(0.0, ""))
-    if best[0] >= 0.84:
-        return 2, best[1]
-    if 2 < len(word) <= 7:
+    n = len(word)
+    if n >= 6:
+        best = _nearest(word, _LINES_BY_START.get(word[:2], ()), 0.84, 3)
+        best = max(best, _nearest(word, _LINES_BY_END.get(word[-3:], ()), 0.84, 3))
+        if best[1]:
+            return 2, best[1]
+    if 2 < n <= 7:
         fits = []
-        for line in LINES:
+        for line in _LINES_BY_LETTER.get(word[0], ()):
             it = iter(line)
-            if word[0] == line[0] and len(word) < len(line) and all(ch in it for ch in word):
+            if n < len(line) and all(ch in it for ch in word):
                 vowels = sum(ch in "aeiou" for ch in word)
                 if line.startswith(word) or line.startswith(word[:3]) and word[-1] in line[-3:] or not vowels:
                     fits.append((not line.startswith(word), len(line), line))
@@ -143,90 +155,117 @@ def line_of(word: str) -> tuple[int, str]:
     return 0, ""
 
 
+def _nearest(word: str, others, least: float, apart: int) -> tuple[float, str]:
+    """(ratio, word) of the most similar of some words, at most `apart` letters longer or shorter; (0, '') below `least`."""
+    n, best, letters = len(word), (0.0, ""), set(word)
+    for x in others:
+        m = len(x)
+        if abs(m - n) <= apart and 2 * min(m, n, n - len(letters.difference(x))) >= least * (m + n) and (r := ratio(word, x)) >= least:
+            best = max(best, (r, x))
+    return best
+
+
 @lru_cache(100_000)
 def given_of(word: str) -> frozenset:
     """Formal given names that a word may stand for."""
     if word in _FORMAL:
         return _FORMAL[word]
-    if len(word) >= 6:
-        best = max(((ratio(word, x), x) for x in _NAMES_BY_START.get(word[0], ()) if abs(len(x) - len(word)) < 3), default=(0.0, ""))
-        if best[0] >= 0.85:
-            return frozenset((best[1],))
+    if len(word) >= 6 and (best := _nearest(word, _NAMES_BY_START.get(word[0], ()), 0.85, 2)[1]):
+        return frozenset((best,))
     return frozenset()
 
 
-_NOTE = re.compile(r"\[[^\]]*\]|\ba\s?/\s?c\b[\s#:]*\d*|\bacc?(?:ount)?t?\s*(?:no\.?)?\s*\d+|#\s*\d+|\s-\s*(?:hq|head office|main)\b.*$|\((?!p\))[^)]*\)")
+_NOTE = re.compile(r"\[[^\]]*\]|\ba\s?/\s?c\b[\s#:]*\d*|\bacc?(?:ount)?t?\s*(?:no\.?)?\s*\d+|#\s*\d+|\((?!p\))[^)]*\)")
+#: A note behind a dash: at most two words.
+_BEHIND = re.compile(r"^(.*\w.*?)\s-\s+([^\W\d_]+(?:\s+[^\W\d_]+)?)\s*$")
 _NOTED = re.compile(r"[\[/#(\-]|\bacc?(?:ount)?t?\b")
 _WORDS = re.compile(r"[^\W_]+")
 _DOTTED = re.compile(r"\b(?:[a-z]\.\s?){2,}(?:[a-z]\b\.?)?")
 
 
+_TWICE = re.compile(r"(.)\1+")
+_OWN, _LEGAL, _NONE = 0, 1, 2
+
+
+def sound(word: str) -> str:
+    """A word as it sounds: letters typed for each other become one, doubled letters single."""
+    for a, b in SOUNDS:
+        if a in word:
+            word = word.replace(a, b)
+    return _TWICE.sub(r"\1", word.translate(SOUND_LETTERS))
+
+
 @lru_cache(200_000)
-def _meant(word: str) -> tuple[str, int, str]:
-    """What a word is: `legal`, `none` (titles, notes, numbers) or `own`, with its strength as a line of business and that line."""
+def _meant(word: str) -> tuple[int, int, str, str]:
+    """What a word is (its own, of a legal form, or none: titles and numbers), its strength as a line of business, that line, and its sound."""
     if word in LEGAL:
-        return "none" if word in ("and", "of", "the") else "legal", 0, ""
-    if word in TITLES or word in NOTES or word.isdigit():
-        return "none", 0, ""
-    return "own", *line_of(word)
+        return _NONE if word in ("and", "of", "the") else _LEGAL, 0, "", word
+    if word in TITLES or word.isdigit():
+        return _NONE, 0, "", word
+    return _OWN, *line_of(word), sound(word)
 
 
 def parse(name: str) -> tuple[list[str], str]:
-    """(core words in their order, kind). kind: `L:` and a line, `G:` and given names, `I:` and an initial, or nothing."""
+    """(core words as they sound in their order, kind). kind: `L:` and a line, `G:` and given names, `I:` and an initial, or nothing."""
     s = fold(name)
     if _NOTED.search(s):
         s = _NOTE.sub(" ", s).replace("m/s", " ").replace("(p)", " private ")
+        if " - " in s and (m := _BEHIND.match(s)) and len(_WORDS.findall(m[1])) > 1 and all(_meant(x)[:2] == (_OWN, 0) for x in m[2].split()):
+            s = m[1]
     if "." in s:
         s = _DOTTED.sub(lambda m: m[0].replace(".", "").replace(" ", "") + " ", s)
     raw = _WORDS.findall(s)
-    meant = [_meant(x) for x in raw]
-    w = [x for x, m in zip(raw, meant) if m[0] == "own"]
+    w, core, legal, at, most = [], [], False, -1, 0
+    for x in raw:
+        what, strength, _, heard = meant = _meant(x)
+        if what == _OWN:
+            if strength > most or strength and strength == most and len(x) > len(w[at]):
+                at, most, line = len(w), strength, meant[2]
+            w.append(x)
+            core.append(heard)
+        elif what == _LEGAL:
+            legal = True
     if not w:
-        return (raw or [s.strip() or name]), ""
-    own = [m for m in meant if m[0] == "own"]
+        return [sound(x) for x in raw or [s.strip() or name]], ""
     kind = ""
-    at = max(range(len(w)), key=lambda i: (own[i][1], len(w[i]), -i)) if len(w) > 1 else 0
-    if own[at][1] and len(w) > 1:
-        kind, w = f"L:{own[at][2]}", w[:at] + w[at + 1 :]
-    elif len(w) > 1 and not any(m[0] == "legal" for m in meant):
-        at = next((i for i, x in enumerate(w) if given_of(x)), None)
-        if at is not None:
-            kind, w = "G:" + "|".join(sorted(given_of(w[at]))), w[:at] + w[at + 1 :]
-        elif any(len(x) == 1 for x in w):
-            at = next(i for i, x in enumerate(w) if len(x) == 1)
-            kind, w = f"I:{w[at]}", w[:at] + w[at + 1 :]
-        elif len(w) == 3:
-            kind, w = f"G:{w[0]}", w[1:]
-    long = [x for x in w if len(x) > 1]
-    return (long or w), kind
-
-
-_TWICE = re.compile(r"(.)\1+")
-
-
-@lru_cache(200_000)
-def sound(word: str) -> str:
-    """A word as it sounds: letters typed for each other become one, doubled letters single."""
-    for a, b in SOUNDS:
-        word = word.replace(a, b)
-    return _TWICE.sub(r"\1", word)
+    if len(w) > 1:
+        if most:
+            kind = "L:" + line
+        elif not legal:
+            at = next((i for i, x in enumerate(w) if given_of(x)), -1)
+            if at >= 0:
+                kind = "G:" + "|".join(sorted(given_of(w[at])))
+            elif (at := next((i for i, x in enumerate(w) if len(x) == 1), -1)) >= 0:
+                kind = "I:" + w[at]
+            elif len(w) == 3:
+                at, kind = 0, "G:" + w[0]
+        if kind:
+            del w[at], core[at]
+    return [c for x, c in zip(w, core) if len(x) > 1] or core, kind
 
 
 def _parsed(name: str) -> tuple[str, str]:
     core, kind = parse(name)
-    return " ".join(map(sound, core)), kind
+    return " ".join(core), kind
 
 
 def _contacts(df: DataFrame) -> DataFrame:
-    """Rows with a name, and their tax number, mail address and telephone in one form; null where malformed."""
-    pan = F.regexp_replace(F.upper("pan_number"), "[^A-Z0-9]", "")
-    mail = F.regexp_extract(F.lower("contact_email"), r"([a-z0-9._+-]+(?:@| at )[a-z0-9.-]+\.[a-z]+)", 1)
-    digits = F.regexp_replace(F.regexp_replace(F.lower("phone"), r"ext\W*[0-9]+\s*$", ""), "[^0-9]", "")
+    """Rows with a name, and the numbers of their tax number, mail address and telephone in one form; 0 where malformed.
+
+    Plainly written values take a short way; only the others pay for general patterns.
+    """
+    number = lambda tag, c: F.coalesce(F.when(c != "", F.xxhash64(F.lit(tag), c)), F.lit(0).cast("long"))
+    pan = F.upper(F.translate("pan_number", " -./", ""))
+    pan = F.when(pan.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$"), pan).when(pan.rlike("[^A-Z0-9]"), F.regexp_extract(F.regexp_replace(pan, "[^A-Z0-9]", ""), "^[A-Z]{5}[0-9]{4}[A-Z]$", 0))
+    mail = F.replace(F.lower(F.trim("contact_email")), F.lit(" at "), F.lit("@"))
+    plain = mail.rlike(r"^[a-z0-9._+-]++@[a-z0-9.-]+\.[a-z]++$")
+    mail = F.when(plain, mail).when(F.contains(mail, F.lit("@")), F.regexp_extract(mail, r"([a-z0-9._+-]++@[a-z0-9.-]+\.[a-z]+)", 1))
+    phone = F.translate("phone", " -()+./", "")
+    digits = F.regexp_replace(F.regexp_replace(F.lower(F.col("phone")), r"ext\W*[0-9]+\s*$", ""), "[^0-9]", "")
+    phone = F.when(phone.rlike("^[0-9]*$"), phone).otherwise(digits)
     return df.where(~is_missing(F.col("vendorname"))).select(
-        "row_id", "vendorname",
-        F.when(pan.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$"), pan).alias("pan"),
-        F.when(mail != "", F.regexp_replace(mail, " at ", "@")).alias("mail"),
-        F.when(F.length(digits).between(8, 15), digits).alias("phone"),
+        "row_id", "vendorname", number("p", pan).alias("pan"), number("m", mail).alias("mail"),
+        number("t", F.when(F.length(phone).between(8, 15), phone)).alias("phone"),
     )
 
 
@@ -235,56 +274,193 @@ def parsed(df: DataFrame) -> DataFrame:
 
     The number of an acronym takes in the first contact or, without one, the row.
     """
-
     ship(df.sparkSession)
 
-    @F.pandas_udf("struct<core: string, kind: string>")
-    def run(names: pd.Series) -> pd.DataFrame:
-        p = [_parsed(n) for n in names]
-        return pd.DataFrame(p, columns=["core", "kind"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = [_parsed(n) for n in b.column("vendorname").to_pylist()]
+            yield pa.record_batch([b.column("row_id"), pa.array([c for c, _ in p], pa.string()), pa.array([k for _, k in p], pa.string()), *(b.column(c) for c in ("pan", "mail", "phone"))], names=["row_id", "core", "kind", "pan", "mail", "phone"])
 
-    rows = _contacts(df).withColumn("_p", run("vendorname")).select("row_id", "_p.core", "_p.kind", "pan", "mail", "phone")
+    rows = _contacts(df).mapInArrow(run, "row_id long, core string, kind string, pan long, mail long, phone long")
     whole = F.replace("core", F.lit(" "), F.lit(""))
-    own = F.concat_ws("~", whole, F.coalesce("pan", "mail", "phone", F.col("row_id").cast("string")))
-    return rows.withColumn("node", F.xxhash64(F.when(F.length(whole) < SHORT, own).otherwise(whole)))
+    own = F.coalesce(*(F.nullif(F.col(c), F.lit(0)) for c in ("pan", "mail", "phone")), F.col("row_id"))
+    return rows.withColumn("node", F.when(F.length(whole) < SHORT, F.xxhash64(whole, own)).otherwise(F.xxhash64(whole)))
+
 
+def suffix_keys(core: str) -> list[tuple[str, str, str]]:
+    """(suffix, other, text) for each word of a core: its suffix, the other words joined, and all words, this one last.
 
-def _initials(words: F.Column, whole: F.Column) -> F.Column:
+    A core of one word may be two written together, so what stands before its suffix is its other part; its first
+    letter, and the letter before the suffix, make it meet other cores of one word.
+    """
+    w = core.split()
+    n = sum(map(len, w))
+    long = [i for i, x in enumerate(w) if len(x) >= MIN_SUFFIX]
+    if len(w) == 1 or not long:
+        one = "".join(w)
+        end, front = one[-MIN_SUFFIX:], one[:-MIN_SUFFIX]
+        return [(end, front, core), ("1" + end, front[:1], core), ("2" + end, front[-1:], core)] if n >= SHORT else []
+    out = []
+    for i in long:
+        rest = w[:i] + w[i + 1 :]
+        out.append((w[i][-MIN_SUFFIX:], "".join(rest), " ".join([*rest, w[i]])))
+    return out
+
+
+def initials(words: list[str]) -> list[str]:
     """The first letters of each two words of a core in order; of an acronym its first two letters, of one word its first."""
-    firsts = F.array_sort(F.when(F.length(whole) < SHORT, F.array(F.substring(whole, 1, 1), F.substring(whole, 2, 1))).otherwise(F.transform(words, lambda w: F.substring(w, 1, 1))))
-    pairs = F.flatten(F.transform(firsts, lambda a, i: F.transform(F.slice(firsts, i + 2, F.size(firsts)), lambda b: F.concat(F.lit("="), a, b))))
-    return F.array_distinct(F.when(F.size(firsts) > 1, pairs).otherwise(F.transform(firsts, lambda a: F.concat(F.lit("="), a))))
-
-
-def blocks(rows: DataFrame) -> DataFrame:
-    """(block, text, contact, core): each core under its refined suffixes, once for each block."""
-    words = F.split("core", " ")
-    whole = F.array_join(words, "")
-    key = lambda block, text, contact: F.struct(F.xxhash64(*block).alias("block"), text.alias("text"), F.lit(contact).alias("contact"))
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 1),
-        lambda i: F.struct(F.array_join(F.slice(words, i + 1, F.size(words)), "").alias("b"), F.array_join(F.slice(words, F.lit(1), i), "").alias("a")),
-    )
-    turned = F.transform(parts, lambda x: key((F.substring(F.concat(x["b"], x["a"]), 1, PREFIX), F.right(F.concat(x["b"], x["a"]), F.lit(MIN_SUFFIX))), F.concat(x["b"], x["a"]), NAME))
-    ordered = F.array_join(F.array_sort(words), "")
-    # The turns of a core need no contact: they are made once for each distinct core.
-    turns = rows.where(F.length(whole) >= SHORT).select("node", "core").distinct().select("node", F.explode(turned).alias("_k")).select("node", "_k.*")
-    given = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(t), F.col(c))) for t, c in (("p", "pan"), ("m", "mail"), ("t", "phone")))), lambda h: h.isNotNull())
-    contacts = cut(rows.where("pan is not null or mail is not null or phone is not null").select("node", "core", F.explode(given).alias("block")))
-    hot = cut(contacts.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > SHARED).select("block"))
-    hot = broadcast_if_small(hot, MOST_HOT)
-    own = contacts.join(hot, "block", "left_anti").select("node", "block", ordered.alias("text"), F.lit(CONTACT).alias("contact"))
-    ending = F.transform(F.filter(words, lambda w: F.length(w) >= MIN_SUFFIX), lambda w: F.right(w, F.lit(MIN_SUFFIX)))
-    starting = F.transform(F.filter(words, lambda w: F.length(w) >= MIN_SUFFIX), lambda w: F.concat(F.left(w, F.lit(MIN_SUFFIX)), F.lit("-")))
-    shared = contacts.join(hot, "block", "left_semi").select("node", "block", ordered.alias("text"), F.explode(F.array_union(*(F.transform(k, lambda x: F.struct(x.alias("s"), F.lit(c).alias("contact"))) for k, c in ((F.array_union(ending, starting), CONTACT), (_initials(words, whole), INITIALS))))).alias("_k"))
-    refined = shared.select("node", F.xxhash64("block", "_k.s").alias("block"), "text", "_k.contact")
-    columns = ["node", "block", "text", "contact"]
-    return turns.select(columns).unionByName(own).unionByName(refined).withColumn("size", -F.length("text"))
-
-
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each core to the leader it resembles, over rows sorted by block. Rows alone in their block are passed over unread."""
-    block, leaders, seen = None, [], set()
+    whole = "".join(words)
+    firsts = sorted(whole[:2] if len(whole) < SHORT else (x[0] for x in words if x))
+    return [a + b for i, a in enumerate(firsts) for b in firsts[i + 1 :]] or firsts
+
+
+def _emit(make):
+    """A mapInArrow function: one row for each tuple that make(core) gives, with the core's node (and contact, if any)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [c for c in b.schema.names if c != "core"]
+            at, out = [], []
+            for i, core in enumerate(b.column("core").to_pylist()):
+                for t in make(core):
+                    at.append(i)
+                    out.append(t)
+            at = pa.array(at, pa.int64())
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.record_batch([*(b.column(c).take(at) for c in kept), *(pa.array(c, pa.string()) for c in columns)], names=[*kept, "suffix", "other", "text"])
+
+    return run
+
+
+def _contact_keys(core: str) -> list[tuple[str, str, str]]:
+    """(key, other, text) for each word of a core within a shared contact: its beginning and its suffix, and the other words."""
+    w = core.split()
+    out = {}
+    for i, x in enumerate(w):
+        if len(x) >= MIN_SUFFIX:
+            rest = "".join(w[:i] + w[i + 1 :])
+            out |= {x[-MIN_SUFFIX:]: rest, x[:MIN_SUFFIX] + "-": rest}
+    return [(k, rest, core) for k, rest in out.items()]
+
+
+def _initial_keys(core: str) -> list[tuple[str, str, str]]:
+    return [(k, "", "") for k in sorted(set(initials(core.split())))]
+
+
+def _blocks_of(keys: DataFrame, common: int, contact: int) -> tuple[DataFrame, DataFrame]:
+    """(block, text, contact, node) of keys (node, key, other, text), and the table of common keys.
+
+    A key of up to `common` cores is a block. A commoner one is refined by the first and by the last letters of the
+    other words; as a refined key is no commoner than the key, only those of more than CROWDED cores are counted again.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("_n"))  # few keys, so counts combine before the shuffle
+    many = cut(sizes.where(F.col("_n") > common))
+    marked = keys.join(broadcast_if_small(many, MOST_HOT), "key", "left")
+    parts = [marked.where("_n is null").select("node", "text", F.xxhash64("key").alias("block"))]
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), o.alias("o")) for s, o in (("<", F.left("other", F.lit(STEPS[0][0]))), (">", F.right("other", F.lit(STEPS[0][1])))))))
+    refined = lambda df: df.select("node", "text", "key", "other", sides.alias("_k")).select("node", "text", "key", "other", "_k.s", F.xxhash64("key", "_k.s", "_k.o").alias("block"))
+    if common < CROWDED:
+        parts.append(refined(marked.where(F.col("_n") <= CROWDED)).select("node", "text", "block"))
+    if many.where(F.col("_n") > CROWDED).limit(1).count():
+        rest = refined(marked.where(F.col("_n") > CROWDED))
+        for a, b in STEPS[1:]:
+            full = cut(rest.groupBy("block").agg(F.count("*").alias("_m")).where(F.col("_m") > CROWDED).select("block"))
+            parts.append(rest.join(full, "block", "left_anti").select("node", "text", "block"))
+            if not full.limit(1).count():
+                rest = None
+                break
+            more = F.when(F.col("s") == "<", F.left("other", F.lit(a))).otherwise(F.right("other", F.lit(b)))
+            rest = rest.join(full, "block", "left_semi").withColumn("block", F.xxhash64("key", "s", more, F.lit(a)))
+        if rest is not None:
+            parts.append(rest.select("node", "text", "block"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("contact", F.lit(contact)), many
+
+
+def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """(node, block, core) of the contacts on up to SHARED rows, (node, contact, core) of the others if any, and tables to delete."""
+    contact = F.explode(F.array("pan", "mail", "phone")).alias("block")
+    given = rows.select("node", "core", contact).where("block <> 0")
+    hot = cut(rows.select(contact).where("block <> 0").groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > SHARED).select("block"))
+    if not hot.limit(1).count():
+        return given, None, [hot]
+    few = broadcast_if_small(hot, MOST_HOT)
+    shared = cut(given.join(few, "block", "left_semi").groupBy("node", F.col("block").alias("contact")).agg(F.min("core").alias("core")))
+    return given.join(few, "block", "left_anti"), shared, [hot, shared]
+
+
+def blocks(rows: DataFrame, own: DataFrame, shared: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(block, text, contact, node): each core under its suffixes and contacts, and the tables to delete once read."""
+    cores = rows.where(F.length(F.replace("core", F.lit(" "), F.lit(""))) >= SHORT).select("node", "core").groupBy("node").agg(F.min("core").alias("core"))
+    keys = cut(cores.mapInArrow(_emit(suffix_keys), "node long, suffix string, other string, text string").withColumnRenamed("suffix", "key"))
+    out, many = _blocks_of(keys, COMMON, NAME)
+    done = [keys, many]
+    out = out.unionByName(own.select("node", F.col("core").alias("text"), "block", F.lit(CONTACT).alias("contact")))
+    if shared is not None:
+        given = cut(shared.mapInArrow(_emit(_contact_keys), "node long, contact long, suffix string, other string, text string").select("node", F.xxhash64("contact", "suffix").alias("key"), "other", "text"))
+        refined, many = _blocks_of(given, CROWDED, CONTACT)
+        out, done = out.unionByName(refined), [*done, given, many]
+    return out, done
+
+
+def _clusters(members: list[tuple]) -> list[tuple[int, int]]:
+    """Links of one block: each core with a core of every cluster it resembles. members: (text, contact, node)."""
+    out: list[tuple[int, int]] = []
+    clusters: list[list[tuple[str, str, str, int]]] = []  # of (words, letters, letters of the sorted words, node)
+    seen = set()
+    for words, contact, node in members:
+        if node in seen:
+            continue
+        seen.add(node)
+        letters = words.replace(" ", "")
+        core = (words, letters, "".join(sorted(words.split())) if contact else letters)
+        joined = None
+        for k, c in enumerate(clusters):
+            for *other, hit in c:
+                if same(core, other, contact):
+                    out.append((node, hit))
+                    if joined is None:
+                        joined = c
+                    else:
+                        joined += c
+                        clusters[k] = []
+                    break
+        if joined is None:
+            clusters.append([(*core, node)])
+        else:
+            joined.append((*core, node))
+            clusters = [c for c in clusters if c]
+    return out
+
+
+def _near(a: str, b: str, least: float) -> bool:
+    n, m = len(a), len(b)
+    return a == b or 2 * min(n, m) >= least * (n + m) and 2 * lcs(a, b) >= least * (n + m)
+
+
+def same(core: tuple, other: list, contact: int) -> bool:
+    """Whether two cores (words, letters, letters of the sorted words) are variants: by their letters, without a contact in common also word by word."""
+    (words_a, a, x), (words_b, b, y) = core, other
+    if a == b:
+        return True
+    if contact:
+        return _near(a, b, ALIKE_CONTACT) or (x, y) != (a, b) and _near(x, y, ALIKE_CONTACT) or _abbreviated(x, y)
+    if not _near(a, b, ALIKE):
+        return False
+    v, w = sorted((words_a.split(), words_b.split()), key=len)
+    if len(v) == len(w):
+        return all(ratio(x, y) >= WORD_ALIKE for x, y in zip(v, w))
+    # A word more is a part of a word split in two, unless each word of the shorter core stands in the longer one.
+    found = [max(w, key=lambda y: ratio(x, y)) for x in v]
+    return any(ratio(x, y) < WORD_FOUND for x, y in zip(v, found)) or all(len(y) < 3 for y in w if y not in found)
+
+
+def _links_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within blocks, over rows sorted by block. Rows alone in their block are passed over unread."""
+    block, members = None, []
+    table = lambda out: pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["src", "dst"])
     for b in batches:
         k = b.column("block").to_numpy()
         if not len(k):
@@ -294,32 +470,16 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near[:-1] |= near[1:]
         near[0] = near[-1] = True  # their blocks may reach into the batches before and after
         b = b.filter(pa.array(near))
-        src, dst = [], []
-        for k, text, contact, node in zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("block", "text", "contact", "node"))):
+        out = []
+        for k, *m in zip(*(b.column(c).to_pylist() for c in ("block", "text", "contact", "node"))):
             if k != block:
-                block, leaders, seen = k, [[text, node, 1]], {node}
-                continue
-            if node in seen:
-                continue
-            seen.add(node)
-            if contact == INITIALS and len(text) < SHORT:  # acronyms come last in their block
-                fits = [(m, n) for t, n, m in leaders if len(t) >= SHORT]
-                most, n = max(fits, key=lambda x: x[0], default=(0, node))
-                if 2 * most > sum(m for m, _ in fits):
-                    src.append(node)
-                    dst.append(n)
-                continue
-            least = ALIKE_CONTACT if contact else ALIKE
-            for leader in leaders:
-                t, n, _ = leader
-                if t == text or ratio(t, text) >= least or contact and _abbreviated(t, text):
-                    src.append(node)
-                    dst.append(n)
-                    leader[2] += 1
-                    break
-            else:
-                leaders.append([text, node, 1])
-        yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+                if len(members) > 1:
+                    out += _clusters(members)
+                block, members = k, []
+            members.append(m)
+        yield table(out)
+    if len(members) > 1:
+        yield table(_clusters(members))
 
 
 def _abbreviated(a: str, b: str) -> bool:
@@ -331,10 +491,20 @@ def _abbreviated(a: str, b: str) -> bool:
     return len(a) >= 6 and len(b) - len(a) >= 4 and (b.startswith(a) or b.endswith(a))
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """(src, dst): cores that are variants of one another."""
-    b = blocks(rows)
-    return b.repartition("block").sortWithinPartitions("block", "size", "node", "text").select("block", "text", "contact", "node").mapInArrow(_leaders, "src long, dst long").distinct()
+def links(rows: DataFrame, own: DataFrame, shared: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(src, dst): cores that are variants of one another, and the tables to delete once it is read."""
+    b, done = blocks(rows, own, shared)
+    return b.withColumn("size", -F.length("text")).repartition("block").sortWithinPartitions("block", "size", "node", "text").select("block", "text", "contact", "node").mapInArrow(_links_in, "src long, dst long").distinct(), done
+
+
+def _acronyms(shared: DataFrame, fam: DataFrame) -> DataFrame:
+    """(node, family): acronyms that no other evidence links, and the family that holds more than half of the cores with their initials in a shared contact."""
+    keys = shared.join(fam, "node", "left").mapInArrow(_emit(_initial_keys), "node long, contact long, family long, suffix string, other string, text string")
+    short = F.length(F.replace("core", F.lit(" "), F.lit(""))) < SHORT
+    known = shared.where(~short).select("node", "contact").join(keys.select("node", "contact", F.coalesce("family", "node").alias("family"), "suffix"), ["node", "contact"])
+    best = known.groupBy("contact", "suffix", "family").agg(F.count("*").alias("_n")).groupBy("contact", "suffix").agg(F.max(F.struct("_n", "family")).alias("_b"), F.sum("_n").alias("_all")).where("2 * _b._n > _all")
+    odd = shared.where(short).select("node", "contact").join(keys.where("family is null").select("node", "contact", "suffix"), ["node", "contact"])
+    return odd.join(best, ["contact", "suffix"]).groupBy("node").agg(F.min("_b.family").alias("family"))
 
 
 def resolve(rows: list[tuple]) -> list[list[int]]:
@@ -403,10 +573,15 @@ def _families_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[list[list[li
 def _grouped(df: DataFrame) -> DataFrame:
     """Rows with their family, ready to be read family by family."""
     rows = cut(parsed(df))
-    fam = components(links(rows)).withColumnRenamed("component", "family")
-    named = rows.join(fam, "node", "left").withColumn("family", F.coalesce("family", "node"))
-    number = [F.coalesce(F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), F.col(c))), F.lit(0).cast("long")).alias(c) for c in ("pan", "mail", "phone")]  # 0: none
-    return named.select("family", "row_id", "kind", *number).repartition("family").sortWithinPartitions("family", "row_id")
+    own, shared, kept = _shared(rows)
+    edges, done = links(rows, own, shared)
+    fam = components(edges).withColumnRenamed("component", "family")
+    if shared is not None:
+        fam = cut(fam.unionByName(_acronyms(shared, fam)))
+    for t in done + kept:
+        drop_cut(t)
+    named = rows.select("row_id", "kind", "pan", "mail", "phone", "node").join(fam, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    return named.select("family", "row_id", "kind", "pan", "mail", "phone").repartition("family").sortWithinPartitions("family", "row_id")
 
 
 def vendors(df: DataFrame) -> DataFrame:

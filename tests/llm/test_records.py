@@ -171,6 +171,30 @@ def test_a_contact_on_many_rows_still_links_acronyms_and_other_endings(spark):
     assert got[2001] == 2001 and got[2000] == 2000 and got[1] == 0
 
 
+def vendors_of(spark, cells):
+    df = spark.createDataFrame([(i, n, None, None, None, t, None, 0) for i, (n, t) in enumerate(cells)], VENDOR)
+    return {r["row_id"]: r["vendor_row_id"] for r in names.vendors(df.repartition(3)).collect()}
+
+
+def test_one_typing_error_anywhere_and_words_that_tell_apart(spark):
+    cells = ["Bremolqast Foods Ltd", "Bromolqast Foods Ltd", "Zarkovin Ltd", "Zerkovin Ltd", "New Fovgekdid Morfuxvim Foods", "Old Fovgekdid Morfuxvim Foods", "Main Office Supplies", "Fovgekdid Morfuxvim Foods - Head Office", "Fovgekdid Morfuxvim Foods"]
+    got = vendors_of(spark, [(c, None) for c in cells])
+    assert [got[i] for i in range(9)] == [0, 0, 2, 2, 4, 5, 6, 7, 7], got
+    got = vendors_of(spark, [("New Fovgekdid Morfuxvim Foods", "+49 30 1234567"), ("Old Fovgekdid Morfuxvim Foods", "+49 30 1234567")])
+    assert got == {0: 0, 1: 0}
+
+
+@pytest.mark.parametrize("common, crowded", [(24, 400), (1, 3), (1, 1)])
+def test_common_suffixes_are_refined_and_lose_no_link(spark, monkeypatch, common, crowded):
+    monkeypatch.setattr(names, "COMMON", common)
+    monkeypatch.setattr(names, "CROWDED", crowded)
+    first = ["tolmuvar", "borsipgan", "kevludhar", "nemroxfit", "pasgudvil", "wurhekcom"]
+    cells = [f"{f.capitalize()} Fovgekdid Foods Ltd" for f in first]
+    cells += [f"{f[0].upper()}{f[2]}{f[1]}{f[3:]} Fovgekdid Foods Ltd" for f in first] + [f"{f.capitalize()} Fovgekdid Foods Ltd."[: len(f) - 1] + "x Fovgekdid Foods Ltd" for f in first]
+    got = vendors_of(spark, [(c, None) for c in cells])
+    assert [got[i] for i in range(18)] == [0, 1, 2, 3, 4, 5] * 3
+
+
 def test_links_do_not_depend_on_partitions(spark):
     rnd = random.Random(5)
     syll = ["fov", "gek", "did", "mor", "fux", "vim", "tol", "ban", "rir", "sot"]
