@@ -27,5 +27,6 @@ def components(edges: DataFrame) -> DataFrame:
         drop_cut(labels)
         labels = new.select("node", "component")
         if not moved:
+            drop_cut(both)
             return labels
     raise RuntimeError("the components did not settle")

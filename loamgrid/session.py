@@ -61,7 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Delete a table that cut() wrote, once nothing reads it any more."""
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for name in {f.rpartition("/")[0] for f in df.inputFiles() if "/cut-" in f}:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
