@@ -50,8 +50,9 @@ from loamgrid.session import broadcast_if_small, cut, drop_cut, ship
 MIN_SUFFIX = 5
 #: A suffix of more distinct cores is refined by the other words; a refined block of more is refined further.
 COMMON, CROWDED = 24, 400
-#: Letters at the begin and at the end of the other words, for each step of the refinement; at last all of them.
-STEPS = ((2, 3), (4, 5), (8, 9), (1_000_000, 1_000_000))
+#: Letters at the begin and at the end of the other words, for each step of the refinement. More would leave an error in
+#: a word of eight letters without a block in common; what is crowded even then is compared whole.
+STEPS = ((2, 3), (4, 4))
 #: A contact on more rows than this is shared by many vendors and must be refined by a suffix.
 SHARED = 200
 #: So many shared contacts or common suffixes are broadcast at most; more are joined by a shuffle.

@@ -80,6 +80,33 @@ def test_leaks(spark):
     assert leaks.leaks(docs(spark, texts).limit(0), it).count() == 0 and leaks.leaks(docs(spark, texts), it.limit(0)).count() == 0
 
 
+def test_leaks_of_equal_items_templates_and_unspaced_scripts(spark):
+    note = "Answer the question below in one short sentence and give no reason. "
+    han = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少白日依山尽黄河入海流欲穷千里目更上一层楼"
+    body = "The copper ledger with the quiet anvil has to count by catalogue while nobody may limit the dense orchard or the river before the shallow harbour and its frozen lantern agree on a common rota for every candle that was left behind in the attic"
+    items = [(k, ITEM) for k in range(4)] + [(10 + k, f"{body} number{k} of six") for k in range(6)] + [(30 + k, note + f"what{k} is{k} it{k}") for k in range(6)] + [(20, han)]
+    it = spark.createDataFrame([(i, "b", "prose", t) for i, t in items], "item_id long, benchmark string, item_kind string, text string")
+    texts = ["x " + ITEM, note, "y " + items[5][1], "注：" + han + "。", "\n".join(["the copper ledger with the quiet anvil"] * 30) + " " + ITEM]
+    want = {(0, k) for k in range(4)} | {(2, 10 + k) for k in range(6)} | {(3, 20)} | {(4, k) for k in range(4)}
+    for most in (leaks.MOST_LETTERS, 300):
+        got = leaks.leaks(docs(spark, texts), it, most_letters=most)
+        assert {tuple(r) for r in leaks.found(got).collect()} == want
+
+
+def test_pieces_match_brute_force():
+    rnd = random.Random(6)
+    for _ in range(60):
+        hits = [(rnd.randrange(60), rnd.randrange(12), True) for _ in range(rnd.randrange(80))]
+        open_, chains = [], 0
+        for p, q, _ in sorted(set(hits)):
+            fits = [c for c in open_ if 0 <= p - c[0] <= leaks.GAP and 0 < q - c[1] <= leaks.GAP and abs((p - q) - (c[0] - c[1])) <= leaks.EDIT]
+            chains += not fits
+            if fits:
+                open_.remove(best := min(fits, key=lambda c: (abs((p - q) - (c[0] - c[1])), -c[0])))
+            open_.append((p, q))
+        assert sum(len(c) >= leaks.PIECE for _, _, c in leaks.pieces(hits)) <= chains
+
+
 def test_hits_match_brute_force():
     rnd = random.Random(9)
     vocab = ["ab", "b", "cab", "d"]
@@ -94,7 +121,7 @@ def test_hits_match_brute_force():
                 for q in range(len(v) - leaks.GRAM + 1):
                     if t[p : p + leaks.GRAM] == v[q : q + leaks.GRAM]:
                         want[k].add((p, q))
-        assert {k: set(h) for k, h in index.hits(t).items()} == dict(want)
+        assert {k: {(p, q) for p, q, _ in h} for k, h in index.hits(t).items()} == dict(want)
 
 
 # Problem 8
