@@ -17,8 +17,9 @@ scores.
 Words are folded first: look-alike letters, hidden signs, digits and signs for letters, letters spelt apart, stretched
 letters and case. Words that neither class saw count nothing.
 
-Bounds: the models are fitted on at most MOST_BAD and MOST_CLEAN labelled documents, those with the smallest hash of
-their id. Everything else reads every line of every document but the exact headers of commits and files (`lines_of`).
+Bounds: the models are fitted on at most MOST_BAD and MOST_CLEAN labelled documents of at most MOST_LETTERS letters,
+those with the smallest hash of their id; at most MOST_BAD + MOST_CLEAN times MOST_LETTERS letters come to the driver.
+The model of all of them, and the two of one half each for the threshold, are fitted by three tasks. Everything else reads every line of every document but the exact headers of commits and files (`lines_of`).
 
 Defined results: a null or empty text scores null and is no case; labels that are null, and labels of unknown
 documents, are left out; without labels of both kinds every score is null; equal texts score equally; a null source is
@@ -27,8 +28,9 @@ reported as null. Repeated documents count each time in the rates.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,7 @@ from loamgrid.session import ship
 BAD = ("abusive", "hateful", "sexual")
 MOST_BAD = 1500
 MOST_CLEAN = 3000
+MOST_LETTERS = 100_000
 WINDOW = 6
 ROUNDS = 3
 DISCOUNT = 0.75
@@ -255,12 +258,12 @@ def train(bad: list[str], clean: list[str], rounds: int = ROUNDS) -> Models:
     return fit(chosen, kept)
 
 
-def threshold(bad: list[str], clean: list[str]) -> float:
+def threshold(bad: list[str], clean: list[str], halves: list | None = None) -> float:
     """The limit on documents that their model was not trained on: the middle of the widest gap between scores among the limits with (nearly) the fewest errors."""
     scores = []
     for half in (0, 1):
-        m = train(bad[half::2], clean[half::2])
-        scores += [(s, True) for s in m.score(bad[1 - half :: 2]) if s is not None] + [(s, False) for s in m.score(clean[1 - half :: 2]) if s is not None]
+        of_bad, of_clean = halves[half] if halves else held_out(bad, clean, half)
+        scores += [(s, True) for s in of_bad if s is not None] + [(s, False) for s in of_clean if s is not None]
     scores.sort()
     errors = [sum(not b for _, b in scores)]
     for _, b in scores:  # errors[i]: the i lowest scores are no cases
@@ -270,25 +273,43 @@ def threshold(bad: list[str], clean: list[str]) -> float:
     return max(gaps)[1] if gaps else 0.0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_bad: int = MOST_BAD, most_clean: int = MOST_CLEAN) -> tuple[list[str], list[str]]:
+def held_out(bad: list[str], clean: list[str], half: int) -> tuple[list, list]:
+    """The scores of one half of the documents by a model of the other."""
+    m = train(bad[half::2], clean[half::2])
+    return m.score(bad[1 - half :: 2]), m.score(clean[1 - half :: 2])
+
+
+def fitted(spark, bad: list[str], clean: list[str]) -> tuple[Models, float]:
+    """The models of all documents and the threshold, fitted by three tasks."""
+    texts = spark.sparkContext.broadcast((bad, clean))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in b["id"].tolist():
+                out = train(*texts.value) if k == 2 else held_out(*texts.value, k)
+                yield pd.DataFrame({"id": [k], "fit": [pickle.dumps(out)]})
+
+    got = {r["id"]: pickle.loads(r["fit"]) for r in spark.range(0, 3, 1, 3).mapInPandas(run, "id long, fit binary").collect()}
+    texts.destroy()
+    return got[2], threshold(bad, clean, [got[0], got[1]])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most_bad: int = MOST_BAD, most_clean: int = MOST_CLEAN, most_letters: int = MOST_LETTERS) -> tuple[list[str], list[str]]:
     """Texts of the documents labelled bad and clean, within the documented bounds, in the order of their ids' hashes."""
     votes = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.sum(F.when(F.col("label").isin(*BAD), 1).otherwise(-1)).alias("_v")).withColumn("bad", F.col("_v") >= 0)
     order = F.xxhash64(F.col("doc_id"))
     chosen = votes.where("bad").orderBy(order, "doc_id").limit(most_bad).unionByName(votes.where("not bad").orderBy(order, "doc_id").limit(most_clean))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen.select("doc_id", "bad")), "doc_id").collect()  # at most most_bad + most_clean
+    rows = docs.select("doc_id", "text").where(F.length("text") <= most_letters).join(F.broadcast(chosen.select("doc_id", "bad")), "doc_id").collect()  # at most most_bad + most_clean
     rows.sort(key=lambda r: (hash(r["doc_id"]) * 2654435761 % 2**32, r["doc_id"], r["text"]))
     return [r["text"] for r in rows if r["bad"]], [r["text"] for r in rows if not r["bad"]]
 
 
-_READY: dict = {}
-
-
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, source, score, flagged): flagged is false where the score is null."""
     ship(docs.sparkSession)
     bad, clean = labelled(docs, labels)
     usable = len(bad) >= 2 and len(clean) >= 2
-    shared = docs.sparkSession.sparkContext.broadcast((train(bad, clean), threshold(bad, clean)) if usable else (None, 0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs.sparkSession, bad, clean) if usable else (None, 0.0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models, limit = shared.value

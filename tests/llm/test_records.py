@@ -57,9 +57,30 @@ def test_formatting_edges(spark):
     df = spark.createDataFrame([(*r, 0, "") for r in rows], "rec_id long, _dup_key string, _match_cols string, n_copies int, check string")
     assert ids(formatting.copies(df)) == [(3, 4), (5, 6), (7, 8), (9, 10)]
     assert formatting.copies(df.limit(0)).count() == 0
+    marks = spark.createDataFrame([(1, "Caf\u00e9 1", "A"), (2, "cafe\u0301-1", "A"), (3, "cafe1", "A"), (4, "\u1e0b\u0323", "A"), (5, "d\u0323\u0307", "A")], "rec_id long, _dup_key string, _match_cols string")
+    assert ids(formatting.copies(marks)) == [(1, 2), (4, 5)]
+    clash = spark.sql("select * from values (unhex('0a'), 1L, 1L, 3L), (unhex('0a'), 2L, 5L, 2L), (unhex('0b'), 1L, 9L, 1L) as t(h128, check, keep_rec_id, n_copies)")
+    assert [tuple(r)[1:] for r in formatting.collisions(clash).collect()] == [(2, 5)]
     assert formatting.collisions(formatting.collapse(df)).count() == 0
 
 
+def test_rows_of_a_hot_group_are_split(spark):
+    rows = spark.range(0, 60_000, 1, 6).selectExpr("id as rec_id", "case when id % 10 < 7 then 'hot key' else concat('k', id % 9000) end as _dup_key", "'A' as _match_cols")
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        got = formatting.copies(rows)
+        assert got.count() == got.where("keep_rec_id < rec_id").count() > 41_000
+        got.write.format("noop").mode("overwrite").save()
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # Problem 2
 
 
