@@ -47,6 +47,22 @@ def dimension_scores(exec_log: DataFrame) -> DataFrame:
     return exec_log.groupBy("Dimension").agg(F.greatest(F.lit(0.0), F.bround((F.sum("Evaluated") - F.sum("Failed")) / F.nullif(F.sum("Evaluated"), F.lit(0)) * 100, 2)).alias("Score"))
 
 
+def score_of(exec_log: DataFrame | None, issues: DataFrame, dimension: str, n_rows: int, n_checks: int) -> float:
+    """A dimension's score from its log or, where it has no entry, from the issues and the number of checks.
+
+    Without rows it is 0; without log and checks it is 0, for Standardization 100, as nothing was to be changed.
+    """
+    if n_rows == 0:
+        return 0.0
+    if exec_log is not None and (r := dimension_scores(exec_log.where(F.col("Dimension") == dimension)).first()):
+        return r["Score"]
+    total = n_rows * n_checks
+    if total == 0:
+        return 100.0 if dimension == "Standardization" else 0.0
+    failed = issues.where(F.col("Dimension") == dimension).count()
+    return round(max(0.0, (total - failed) / total * 100), 2)
+
+
 def uniqueness_score(duplicates: DataFrame, n_rows: int) -> DataFrame:
     """Share of rows in no duplicate group."""
     bad = F.least(F.countDistinct("Row_Number"), F.lit(n_rows))

@@ -1,9 +1,9 @@
 """Fuzzy duplicates: blocking, pair scores, connected components; and value clusters.
 
 Blocks are formed on the leading letters of the first column (and of a place column, if there is one). Within a block
-only distinct values are compared, as a self-join on the block key; scores are computed in Arrow batches. Blocks whose
-rows would make more pairs than `max_pairs` are the caller's limit: they are reported by `oversize`, and compared only
-if the limit is None.
+only distinct values are compared, as a self-join on the block key; scores are computed in Arrow batches. Every block is
+compared. A caller may set `max_pairs`: blocks whose rows would make more pairs then are reported by `oversize` and not
+compared.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def oversize(keyed: DataFrame, max_pairs: int) -> DataFrame:
     return sizes.withColumn("n_pairs", (F.col("n_rows") * (F.col("n_rows") - 1) / 2).cast("long")).where(F.col("n_pairs") > max_pairs)
 
 
-def matches(df: DataFrame, columns: list[str], row: Column, threshold: float = 80, weights: list[float] | None = None, max_pairs: int | None = 20_000, ignore_nulls: bool = True, scorer: str = "hybrid", letters: int = 2, place_columns: tuple[str, ...] = PLACE_COLUMNS, rounded: bool = False) -> tuple[DataFrame, DataFrame]:
+def matches(df: DataFrame, columns: list[str], row: Column, threshold: float = 80, weights: list[float] | None = None, max_pairs: int | None = None, ignore_nulls: bool = True, scorer: str = "hybrid", letters: int = 2, place_columns: tuple[str, ...] = PLACE_COLUMNS, rounded: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, skipped): members (_row, _group, _score) of fuzzy groups, and the skipped blocks.
 
     A group's score is its best edge. Equal rows are one value with several rows, linked at 100 without a comparison.
@@ -112,20 +112,24 @@ def basic(df: DataFrame, name: str, columns: list[str], row: Column, **options)
     return found.join(df.withColumn("_row", row.cast("long")), "_row").drop("_row")
 
 
-def value_clusters(values: DataFrame, column: str, threshold: float = 85, most: int = 5_000, scorer: str = "token_set") -> DataFrame:
+def value_clusters(values: DataFrame, column: str, threshold: float = 85, most: int | None = 5_000, scorer: str = "token_set", row: Column | None = None) -> DataFrame:
     """(leader, value) of clusters of near-equal distinct values: each value joins the first leader that it resembles.
 
-    Leaders depend on order, so distinct values are clustered in one group, in their order; the studio's rule finds
-    nothing beyond `most` values, and says so by an empty result. Equal spellings (score 100) form no cluster.
+    Values are trimmed and lower-cased. Leaders depend on order, so the distinct values are clustered in one task, by
+    their first row or, without one, in their own order. More than `most` of them are refused; None sets no bound.
+    Spellings that score 100 against each other form no cluster.
     """
     ship(values.sparkSession)
-    distinct = values.where(F.col(column).isNotNull() & (T.strip(F.col(column)) != "")).groupBy(F.col(column).alias("value")).agg(F.lit(0).alias("_g"))
-    few = distinct.limit(most + 1).count() <= most
+    value = F.lower(T.strip(F.col(f"`{column}`")))
+    first = F.min(row) if row is not None else F.lit(0)
+    distinct = cut(values.where(value != "").groupBy(value.alias("value")).agg(first.cast("long").alias("_first"), F.lit(0).alias("_g")))
+    if most is not None and distinct.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} distinct values")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         f, leaders, out = scorers.SCORERS[scorer], {}, []
-        for v in sorted(pdf["value"]):
-            lead = next((x for x in leaders if threshold <= f(v, x) < 100), None)
+        for _, v in sorted(zip(pdf["_first"], pdf["value"])):
+            lead = next((x for x in leaders if threshold <= f(x, v) < 100), None)
             if lead is None:
                 leaders[v] = []
             else:
@@ -135,4 +139,21 @@ def value_clusters(values: DataFrame, column: str, threshold: float = 85, most:
                 out += [(lead, v) for v in [lead, *vs]]
         return pd.DataFrame(out, columns=["leader", "value"])
 
-    return (distinct if few else distinct.limit(0)).groupBy("_g").applyInPandas(cluster, "leader string, value string")
+    return distinct.groupBy("_g").applyInPandas(cluster, "leader string, value string")
+
+
+def with_partner(values: DataFrame, column: str, threshold: float = 88, scorer: str = "token_set") -> DataFrame:
+    """(value, n): the trimmed, lower-cased values that have an equal or near-equal value of the same first letter, with their rows."""
+    ship(values.sparkSession)
+    value = F.lower(T.strip(F.col(f"`{column}`")))
+    distinct = cut(values.where(value != "").groupBy(value.alias("value")).agg(F.count("*").alias("n")).withColumn("_b", F.left("value", F.lit(1))))
+    pairs = distinct.select("_b", F.col("value").alias("a")).join(distinct.select("_b", F.col("value").alias("b")), "_b").where("a < b").select("a", "b")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = scorers.SCORERS[scorer]
+        for b in batches:
+            kept = [(x, y) for x, y in zip(b["a"].tolist(), b["b"].tolist()) if f(x, y) >= threshold]
+            yield pd.DataFrame({"value": [v for pair in kept for v in pair]}, dtype="object")
+
+    linked = pairs.mapInPandas(near, "value string").unionByName(distinct.where("n > 1").select("value")).distinct()
+    return distinct.join(linked, "value", "left_semi").select("value", "n")

@@ -14,12 +14,12 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     Rows are range-partitioned and written with their partition's number; each partition is numbered on its own, and
     the partitions' sizes, as many as there are partitions, become offsets.
     """
-    placed = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = sorted((r["_p"], r["count"]) for r in placed.groupBy("_p").count().collect())
+    placed = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sizes = sorted((r["__p"], r["count"]) for r in placed.groupBy("__p").count().collect())
     offsets, total = [], 0
     for p, n in sizes:
         offsets += [F.lit(p), F.lit(total)]
         total += n
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    offset = F.create_map(*offsets)[F.col("_p")] if offsets else F.lit(0)
-    return placed.withColumn(name, (inside + offset).cast("long")).drop("_p")
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    offset = F.create_map(*offsets)[F.col("__p")] if offsets else F.lit(0)
+    return placed.withColumn(name, (inside + offset).cast("long")).drop("__p")

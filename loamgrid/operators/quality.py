@@ -6,12 +6,16 @@ computed from these distinct values, each weighted by its rows, so no value is m
 of all rows share costs one row after the combine.
 
 Expressions are induced by minimum description length. Each distinct value is turned into a sequence of runs of one
-character class (upper, lower, digit, blank, or the sign itself); values of one sequence form a shape. A shape is
-described either as such, with exact or free run lengths, or by the general expression `.*`; the set of expressions
-with the shortest total of model bits and value bits is kept. Sequences of more than MOST_RUNS runs are merged to
-groups of like words, and those of more than MOST_GROUPS groups to the set of their characters, so the shapes of a
+character class (upper, lower, digit, blank, or the sign itself); values of one sequence form a shape. The search starts
+with an expression for each shape and joins two of like build, widening their classes and lengths, as long as the total
+of model bits and value bits falls; a beginning that all values of an expression share is written out where that is
+shorter. An expression that costs more than the general `.*` is dropped. Sequences of more than MOST_RUNS runs are merged
+to groups of like words, and those of more than MOST_GROUPS groups to the set of their characters, so the shapes of a
 column are bounded by the alphabet of classes and signs and not by the rows, and every value has a shape.
 
+The values that do not conform to a rule are counted for each shape, so the shares of a load come from the rows that the
+expressions cover, and the same table gives the change of each expression's coverage between loads.
+
 Defined results: nulls and other missing values are counted, and take no part in any other measure but `mix`; a column
 without values has null shares, and no finding but `missing` and `mix`; an empty table gives an empty result; repeated
 rows count each time; loads are compared only with the load numbered one less, if that exists; a null load is left out.
@@ -19,8 +23,10 @@ rows count each time; loads are compared only with the load numbered one less, i
 
 from __future__ import annotations
 
+import os
+import string
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import log2
 
 import pandas as pd
@@ -32,10 +38,14 @@ from loamgrid.session import bounded_collect, ship
 
 #: Runs of a shape, and groups of words of a longer one (3 + 2 lengths each).
 MOST_RUNS, MOST_GROUPS = 12, 4
+#: Letters of a beginning that an expression may write out.
+MOST_LITERAL = 24
 #: Rules and profiled columns come to the driver; there are as many as a person wrote.
 MOST_RULES = 10_000
 NUMBER = r"-?[0-9]+(\.[0-9]+)?"
 SHARE = {"missing": 0.15, "distinct": 0.25, "pattern": 0.15, "range": 0.15, "mix": 0.25}
+#: A change of the share of rows that one expression covers, beyond which it is a finding of its own.
+COVERAGE = 0.15
 
 
 @dataclass(frozen=True)
@@ -110,13 +120,23 @@ def mix_changes(counts: DataFrame, watch: Watch) -> DataFrame:
     return per_value.groupBy("table_name", "load_id", "column_name").agg((F.sum(F.abs("d")) / 2).alias("change"), F.max("now").alias("now"), F.min("was").alias("was")).where("now = 1 and was = 0").select("table_name", "load_id", "column_name", F.lit("mix").alias("finding"), "change")
 
 
-def changes(counts: DataFrame, watch: Watch) -> DataFrame:
+def conformity(covered: DataFrame) -> DataFrame:
+    """(table_name, load_id, column_name, pattern): the share of rows that do not conform to the column's rule, over all expressions."""
+    rows = covered.groupBy("table_name", "load_id", "column_name").agg(F.sum("n_rows").alias("_n"), F.sum("n_bad").alias("_b"))
+    return rows.select("table_name", "load_id", "column_name", (F.col("_b") / F.col("_n")).alias("pattern"))
+
+
+def changes(counts: DataFrame, watch: Watch, covered: DataFrame | None = None) -> DataFrame:
     """(table_name, load_id, column_name, finding, change) for every measure of each load that has a neighbour before it.
 
-    Each load's measures are sent to its own number and to the next and meet there, so the profile is made once.
+    Each load's measures are sent to its own number and to the next and meet there, so the profile is made once. The
+    measure `pattern` comes from the expressions' coverage, if that is given.
     """
     measures = ("missing", "distinct", "pattern", "range")
-    p = profile(counts, watch).select("table_name", "load_id", "column_name", F.struct(*(F.col(f"`{m}`").alias(m) for m in measures)).alias("_m"))
+    p = profile(counts, watch if covered is None else replace(watch, patterns={}))
+    if covered is not None:
+        p = p.drop("pattern").join(F.broadcast(conformity(covered)), ["table_name", "load_id", "column_name"], "left")  # loads x columns
+    p = p.select("table_name", "load_id", "column_name", F.struct(*(F.col(f"`{m}`").alias(m) for m in measures)).alias("_m"))
     null = F.lit(None).cast(p.schema["_m"].dataType)
     sides = F.explode(F.array(F.struct("load_id", F.col("_m").alias("now"), null.alias("was")), F.struct((F.col("load_id") + 1).alias("load_id"), null.alias("now"), F.col("_m").alias("was"))))
     met = p.select("table_name", "column_name", sides.alias("_s")).groupBy("table_name", "_s.load_id", "column_name").agg(F.max("_s.now").alias("now"), F.max("_s.was").alias("was")).where("now is not null and was is not null")
@@ -135,7 +155,15 @@ def findings(all_changes: DataFrame, limits: dict = SHARE) -> DataFrame:
 # Induced expressions
 
 
+_ASCII = (string.digits + string.ascii_uppercase + string.ascii_lowercase + " \t\n\r\f\x0b", "\u0001" * 10 + "\u0002" * 26 + "\u0003" * 26 + "\u0004" * 6)
+
+
 def _marked(c: F.Column) -> F.Column:
+    """Digits, capitals, other letters and blanks as four signs. Plain texts take a short way."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), _marked_any(c)).otherwise(F.translate(c, *_ASCII))
+
+
+def _marked_any(c: F.Column) -> F.Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[0-9]", "\u0001"), r"\p{Lu}", "\u0002"), r"\p{L}", "\u0003"), r"\s", "\u0004")
 
 
@@ -175,38 +203,114 @@ def long_shape(c: F.Column) -> F.Column:
     return F.when((F.size(groups) <= MOST_GROUPS) & ~F.contains(c, F.lit("\u001f")), worded).otherwise(whole)
 
 
-def shapes(counts: DataFrame) -> DataFrame:
-    """(table_name, column_name, load_id, kinds, lo, hi, n_values, n_rows, len_sum, len_lo, len_hi): shapes with the lengths of their runs."""
-    s = counts.where("value is not null").select("table_name", "column_name", "load_id", "n", "value", F.length("value").alias("len"), shape(F.col("value")).alias("s"))
+def shapes(counts: DataFrame, watch: Watch | None = None) -> DataFrame:
+    """(table_name, column_name, load_id, kinds, lo, hi, n_values, n_rows, n_bad, ...): shapes with the lengths of their runs.
+
+    With a watch, n_bad is the rows whose value does not match the whole expression of the column's rule.
+    """
+    bad = F.coalesce(_by_column(watch.patterns if watch else {}, lambda p: ~F.col("value").rlike(rf"\A(?:{p})\z")), F.lit(False))
+    s = counts.where("value is not null").select("table_name", "column_name", "load_id", "n", "value", bad.alias("bad"), F.length("value").alias("len"), shape(F.col("value")).alias("s"))
     runs = F.split("s", "\u001f")
     kinds = F.array_join(F.transform(runs, lambda r: F.when(r.startswith("'"), r).otherwise(F.substring(r, 1, 1))), "\u001f")
     sizes = F.transform(runs, lambda r: F.coalesce(F.when(~r.startswith("'"), F.substring(r, 2, 10).try_cast("int")), F.lit(1)))
     form = F.when(F.col("s").isNull(), long_shape(F.col("value"))).otherwise(F.struct(kinds.alias("kinds"), sizes.alias("lo"), sizes.alias("hi")))
-    sized = s.select("table_name", "column_name", "load_id", "n", "len", form.alias("_f"))
+    sized = s.select("table_name", "column_name", "load_id", "n", "len", "bad", F.left("value", F.lit(MOST_LITERAL)).alias("begin"), form.alias("_f"))
     # The bounds of each run are plain min and max columns, so they combine map-side. Long shapes have at most as many.
     return sized.groupBy("table_name", "column_name", "load_id", F.col("_f.kinds").alias("kinds")).agg(
         *(F.min(F.get("_f.lo", F.lit(i))).alias(f"lo{i}") for i in range(MOST_RUNS)), *(F.max(F.get("_f.hi", F.lit(i))).alias(f"hi{i}") for i in range(MOST_RUNS)),
         F.count("*").alias("n_values"), F.sum("n").alias("n_rows"), F.sum("len").alias("len_sum"), F.min("len").alias("len_lo"), F.max("len").alias("len_hi"),
+        F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"), F.min("begin").alias("first"), F.max("begin").alias("last"),
     )
 
 
-_BITS = {"D": log2(10), "U": log2(26), "L": log2(26), "S": 1.0}
-_CLASS = {"D": "[0-9]", "U": r"\p{Lu}", "L": r"\p{L}", "S": r"\s"}
+#: Bits of a character of each class, and the class as an expression. N: letters and digits.
+_BITS = {"D": log2(10), "U": log2(26), "L": log2(52), "S": 1.0, "N": log2(62)}
+_CLASS = {"D": "[0-9]", "U": r"\p{Lu}", "L": r"\p{L}", "S": r"\s", "N": r"[\p{L}0-9]"}
 _ANY_BITS = log2(96)
 
 
-def _expression(kinds: str, lo: list[int], hi: list[int]) -> tuple[str, float, float]:
-    """A shape's expression, its own bits, and the bits by which its values' runs are told apart."""
-    out, model, free = "", 4.0, 0.0
-    for k, a, b in zip(kinds.split("\u001f"), lo, hi):
-        if k[:1] == "'":
-            out += ("\\" if not k[1:].isalnum() else "") + k[1:]
-            model += 8
-        elif k in _CLASS:
-            out += _CLASS[k] + ("" if a == b == 1 else f"{{{a}}}" if a == b else f"{{{a},{b}}}")
-            model += 2 + 2 * log2(a + 1) + (0 if a == b else 2 * log2(b + 1))
-            free += log2(b - a + 1)
-    return out, model, free
+def _wider(a: str, b: str) -> str | None:
+    """The least class or sign that holds two, if there is one."""
+    if a == b:
+        return a
+    return None if not {a, b} <= {"D", "U", "L", "N"} else "L" if {a, b} <= {"U", "L"} else "N"
+
+
+@dataclass
+class Expression:
+    """A sequence of runs with their lengths, the values it stands for, and what all of them begin with."""
+
+    kinds: tuple[str, ...]
+    lo: tuple[int, ...]
+    hi: tuple[int, ...]
+    n: int
+    begin: str
+    of: tuple[str, ...]
+
+    def joined(self, other: Expression) -> Expression | None:
+        kinds = tuple(map(_wider, self.kinds, other.kinds))
+        if None in kinds:
+            return None
+        return Expression(kinds, tuple(map(min, self.lo, other.lo)), tuple(map(max, self.hi, other.hi)), self.n + other.n, os.path.commonprefix([self.begin, other.begin]), self.of + other.of)
+
+    def literal(self) -> tuple[str, list[tuple[str, int, int]]]:
+        """The beginning that can be written out, and the runs behind it."""
+        used, rest = 0, list(zip(self.kinds, self.lo, self.hi))
+        while rest and used < len(self.begin):
+            k, a, b = rest[0]
+            take = min(a, len(self.begin) - used)
+            used += take
+            if take == a == b:
+                rest.pop(0)
+                continue
+            rest[0] = (k, a - take, b - take)
+            break
+        return self.begin[:used], rest
+
+    def text_and_bits(self) -> tuple[str, float, float]:
+        """The expression, its own bits, and the bits by which one of its values is told from the others."""
+        begin, rest = self.literal()
+        plain = list(zip(self.kinds, self.lo, self.hi))
+        options = [("", plain)] + ([(begin, rest)] if begin else [])
+        made = [self._made(b, r) for b, r in options]
+        return min(made, key=lambda m: (m[1] + self.n * m[2], m[0]))
+
+    @staticmethod
+    def _made(begin: str, runs: list[tuple[str, int, int]]) -> tuple[str, float, float]:
+        out, model, value = "".join(map(_quoted, begin)), 4.0 + 8 * len(begin), 0.0
+        for k, a, b in runs:
+            if k[:1] == "'":
+                out += _quoted(k[1:])
+                model += 8
+            else:
+                out += _CLASS[k] + _times(a, b)
+                model += 2 + 2 * log2(a + 1) + (0 if a == b else 2 * log2(b + 1))
+                value += log2(b - a + 1) + _BITS[k] * (a + b) / 2
+        return out, model, value
+
+    def cost(self, total: int) -> float:
+        _, model, value = self.text_and_bits()
+        return model + self.n * (value - log2(self.n / total))
+
+
+def _quoted(sign: str) -> str:
+    return ("" if sign.isalnum() or sign.isspace() else "\\") + sign
+
+
+def _searched(found: list[Expression], total: int) -> list[Expression]:
+    """Joins expressions of one build, the commonest first, while the description gets shorter."""
+    kept: list[tuple[float, Expression]] = []
+    for e in sorted(found, key=lambda x: (-x.n, x.kinds)):
+        own, best = e.cost(total), None
+        for i, (cost, k) in enumerate(kept):
+            both = k.joined(e)
+            if both is not None and (gain := cost + own - (new := both.cost(total))) > 0 and (best is None or gain > best[0]):
+                best = gain, i, (new, both)
+        if best is None:
+            kept.append((own, e))
+        else:
+            kept[best[1]] = best[2]
+    return [k for _, k in kept]
 
 
 def _bounds_of(kinds: str) -> int:
@@ -252,12 +356,11 @@ def _long_expressions(kinds: str, lo: list[int], hi: list[int], n: int, length:
 
 
 def induce_column(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Expressions of one column from its shapes over all loads, by minimum description length.
+    """(kinds, expression) of one column's shapes over all loads, by minimum description length.
 
-    A shape pays for itself if writing its expression costs less than what its values save against `.*`. The rows of
-    pdf are the shapes of one column, whose number is bounded by MOST_RUNS and the classes.
+    The rows of pdf are the shapes of one column, whose number is bounded by MOST_RUNS and the classes.
     """
-    merged: dict = defaultdict(lambda: [None, None, 0, 0, 2**31, 0])
+    merged: dict = defaultdict(lambda: [None, None, 0, 0, 2**31, 0, None])
     for r in pdf.itertuples(index=False):
         k = _bounds_of(r.kinds)
         lo, hi = [int(getattr(r, f"lo{i}")) for i in range(k)], [int(getattr(r, f"hi{i}")) for i in range(k)]
@@ -267,9 +370,11 @@ def induce_column(pdf: pd.DataFrame) -> pd.DataFrame:
         m[2] += int(r.n_values)
         m[3] += int(r.len_sum)
         m[4], m[5] = min(m[4], int(r.len_lo)), max(m[5], int(r.len_hi))
+        begin = os.path.commonprefix([r.first, r.last])
+        m[6] = begin if m[6] is None else os.path.commonprefix([m[6], begin])
     total = max(1, sum(m[2] for m in merged.values()))
-    out = []
-    for kinds, (lo, hi, n, length, *bounds) in sorted(merged.items(), key=lambda x: (-x[1][2], x[0])):
+    out, builds = [], defaultdict(list)
+    for kinds, (lo, hi, n, length, *bounds, begin) in sorted(merged.items(), key=lambda x: (-x[1][2], x[0])):
         if kinds == "":
             continue
         if kinds[0] in "WC":
@@ -277,30 +382,41 @@ def induce_column(pdf: pd.DataFrame) -> pd.DataFrame:
             if cost < _ANY_BITS * length:
                 out.append((kinds, text, n, cost))
             continue
-        text, model, free = _expression(kinds, lo, hi)
-        avg = [(a + b) / 2 for a, b in zip(lo, hi)]
-        bits = sum(_BITS[k] * a for k, a in zip(kinds.split("\u001f"), avg) if k in _BITS) + free - log2(n / total)
-        if model + n * bits < n * (_ANY_BITS * length / n):
-            out.append((kinds, text, n, model + n * bits))
+        runs = tuple(kinds.split("\u001f"))
+        builds[tuple(k if k[:1] == "'" or k == "S" else "" for k in runs)].append(Expression(runs, tuple(lo), tuple(hi), n, begin, (kinds,)))
+    for found in builds.values():
+        for e in _searched(found, total):
+            cost = e.cost(total)
+            if cost < sum(_ANY_BITS * merged[k][3] for k in e.of):
+                out += [(k, e.text_and_bits()[0], merged[k][2], cost * merged[k][2] / e.n) for k in e.of]
     first = pdf.iloc[0]
+    out.sort(key=lambda o: (-o[2], o[0]))
     return pd.DataFrame([(first.table_name, first.column_name, *o) for o in out], columns=["table_name", "column_name", "kinds", "expression", "n_values", "bits"])
 
 
 def induce(all_shapes: DataFrame) -> DataFrame:
-    """(table_name, column_name, kinds, expression, n_values, bits): the kept expressions of each column."""
+    """(table_name, column_name, kinds, expression, n_values, bits): the kept expression of each shape of a column, with the shape's values and bits."""
     ship(all_shapes.sparkSession)
     return all_shapes.groupBy("table_name", "column_name").applyInPandas(induce_column, "table_name string, column_name string, kinds string, expression string, n_values long, bits double")
 
 
-def coverage(all_shapes: DataFrame, expressions: DataFrame) -> DataFrame:
-    """(table_name, column_name, load_id, expression, n_rows, share, change): rows of each load that each kept expression covers.
+def covered(all_shapes: DataFrame, expressions: DataFrame) -> DataFrame:
+    """(table_name, column_name, load_id, expression, n_rows, n_bad): rows of each load that each kept expression covers.
 
-    Rows that none covers stand under a null expression. change is the difference of the share against the load before,
-    null for the first load; an expression that a load no longer uses has a row with share 0.
+    Rows that none covers stand under a null expression.
     """
     kept = expressions.select("table_name", "column_name", "kinds", "expression")
+    return all_shapes.join(kept, ["table_name", "column_name", "kinds"], "left").groupBy("table_name", "column_name", "load_id", "expression").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
+
+
+def coverage(all_shapes: DataFrame, expressions: DataFrame) -> DataFrame:
+    """(table_name, column_name, load_id, expression, n_rows, share, change): covered() with shares and their changes.
+
+    change is the difference of the share against the load before, null for the first load; an expression that a load
+    no longer uses has a row with share 0.
+    """
     keys = ["table_name", "column_name", "load_id"]
-    per = all_shapes.join(kept, ["table_name", "column_name", "kinds"], "left").groupBy(*keys, "expression").agg(F.sum("n_rows").alias("n_rows"))
+    per = covered(all_shapes, expressions).drop("n_bad")
     total = per.groupBy(*keys).agg(F.sum("n_rows").alias("_t"))
     shares = per.join(total, keys).select(*keys, "expression", "n_rows", (F.col("n_rows") / F.col("_t")).alias("share"))
     sides = F.explode(F.array(F.struct("load_id", "n_rows", "share", F.lit(None).cast("double").alias("was")), F.struct((F.col("load_id") + 1).alias("load_id"), F.lit(0).cast("long").alias("n_rows"), F.lit(0.0).alias("share"), F.col("share").alias("was"))))
@@ -311,3 +427,8 @@ def coverage(all_shapes: DataFrame, expressions: DataFrame) -> DataFrame:
     return met.join(total.drop("_t"), keys).join(has_before, keys, "left").select(
         *keys, "expression", "n_rows", "share", F.when(F.col("_b") == 1, F.col("share") - F.coalesce("was", F.lit(0.0))).alias("change")
     )
+
+
+def coverage_findings(coverages: DataFrame, limit: float = COVERAGE) -> DataFrame:
+    """(table_name, load_id, column_name, finding, expression, change): expressions whose share of rows changed beyond the limit."""
+    return coverages.where(F.abs("change") > limit + 1e-9).select("table_name", "load_id", "column_name", F.lit("coverage").alias("finding"), "expression", "change")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import text as T
+from loamgrid.session import cut
 
 # Categories of rules by their name's beginning.
 CATEGORIES = {
@@ -106,21 +107,71 @@ def column_sheet(columns: list[str], log: DataFrame) -> DataFrame:
 
 
 def clean_set(df: DataFrame, duplicates: DataFrame | None, issues: DataFrame, row: Column) -> DataFrame:
-    """The dataset without the later rows of each duplicate group, and whether a row has an issue.
+    """The dataset without the rows that only follow in duplicate groups, and whether a row has an issue.
 
-    duplicates has Row_Number, Duplicate_Group_ID and, to tell rules apart, Duplicate_Type.
+    duplicates has Row_Number, Duplicate_Group_ID, Duplicate_Type and, where groups are numbered for each column anew,
+    _Source_Column. A group is all of these together, nulls included. The first row of any group stays, once, even if
+    it follows in another; so each group keeps a row.
     """
     rows = df.withColumn("Row_Number", row.cast("long"))
     flagged = issues.select("Row_Number").distinct().withColumn("_bad", F.lit(1))
     if duplicates is not None:
-        keys = ["Duplicate_Type", "Duplicate_Group_ID"]
-        keep = duplicates.groupBy(*keys).agg(F.min("Row_Number").alias("_keep"))
-        drop = duplicates.join(keep, keys).where("Row_Number > _keep").select("Row_Number").distinct()
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_k{i}") for i, c in enumerate(("Duplicate_Type", "_Source_Column", "Duplicate_Group_ID")) if c in duplicates.columns]
+        names = [f"_k{i}" for i, c in enumerate(("Duplicate_Type", "_Source_Column", "Duplicate_Group_ID")) if c in duplicates.columns]
+        dup = cut(duplicates.select(F.col("Row_Number").cast("long").alias("Row_Number"), *keys))  # read three times
+        keep = dup.groupBy(*names).agg(F.min("Row_Number").alias("Row_Number")).select("Row_Number").distinct()
+        drop = dup.select("Row_Number").distinct().join(keep, "Row_Number", "left_anti")
         rows = rows.join(drop, "Row_Number", "left_anti")
-        flagged = flagged.unionByName(duplicates.select("Row_Number", F.lit(1).alias("_bad"))).distinct()
+        flagged = flagged.unionByName(dup.select("Row_Number", F.lit(1).alias("_bad"))).distinct()
     return rows.join(flagged, "Row_Number", "left").withColumn("Issue_Flag", F.when(F.col("_bad") == 1, "Yes").otherwise("No")).drop("_bad")
 
 
+def duplicates_sheet(df: DataFrame, duplicates: DataFrame, issues: DataFrame, row: Column) -> DataFrame:
+    """The duplicate rows, each once, as they are in the dataset, with their group and their other issues."""
+    w = F.row_number().over(Window.partitionBy("Row_Number").orderBy("Duplicate_Type", "Duplicate_Group_ID"))
+    found = duplicates.select(F.col("Row_Number").cast("long").alias("Row_Number"), "Duplicate_Group_ID", "Duplicate_Type", "Similarity_Score").withColumn("_w", w).where("_w = 1").drop("_w")
+    return df.withColumn("Row_Number", row.cast("long")).join(found, "Row_Number").join(by_row(issues), "Row_Number", "left")
+
+
+def full_set(df: DataFrame, issues: DataFrame, duplicates: DataFrame | None, row: Column) -> dict[str, DataFrame]:
+    """The tables of a report: Results, an annexure for each rule in the order of their sizes, Duplicates, Summary.
+
+    There are as many annexures as rules that failed, so their list comes to the driver.
+    """
+    listed = groups(issues, duplicates)
+    names = [(r["annexure_no"], r["rule_label"], r["is_duplicate"]) for r in listed.orderBy("annexure_no").collect()]
+    out = {"Results": results(df, issues, row)}
+    for n, label, is_duplicate in names:
+        out[f"Annexure {n}"] = duplicates_sheet(df, duplicates, issues, row) if is_duplicate else members(df, issues, row, label)
+    if duplicates is not None and any(d for _, _, d in names):
+        out["Duplicates"] = duplicates_sheet(df, duplicates, issues, row)
+    out["Summary"] = summary(listed)
+    return out
+
+
+def duplicate_groups(duplicates: DataFrame) -> DataFrame:
+    """Type, source column and size of each group."""
+    keys = [c for c in ("Duplicate_Type", "_Source_Column", "Duplicate_Group_ID") if c in duplicates.columns]
+    return duplicates.groupBy(*keys).agg(F.count("*").alias("n_rows")).orderBy(F.col("n_rows").desc(), *keys)
+
+
+def duplicate_columns(duplicates: DataFrame, names: str, sep: str = ", ") -> DataFrame:
+    """How many duplicate rows each column of the rules' column lists takes part in."""
+    return duplicates.select(F.explode(F.split(F.col(names), F.lit(sep))).alias("column")).groupBy("column").agg(F.count("*").alias("n_rows")).orderBy(F.col("n_rows").desc(), "column")
+
+
+def unique_rows(found: DataFrame, n_rows: int, row: str = "Row_Number") -> DataFrame:
+    """Distinct rows among issues or duplicates, at most n_rows."""
+    return found.agg(F.least(F.countDistinct(row), F.lit(n_rows)).cast("long").alias("unique_rows"))
+
+
+def dashboard(issues: DataFrame, exec_log: DataFrame, n_rows: int) -> DataFrame:
+    """Rows without and with issues, and the columns whose every check passed."""
+    bad = unique_rows(issues, n_rows).withColumnRenamed("unique_rows", "issue_rows")
+    per = exec_log.groupBy("Column").agg(F.sum("Failed").alias("_f")).agg(F.coalesce(F.sum(F.when(F.col("_f") == 0, 1)), F.lit(0)).cast("long").alias("perfect_columns"))
+    return bad.crossJoin(per).select((F.lit(n_rows) - F.col("issue_rows")).cast("long").alias("clean_rows"), "issue_rows", "perfect_columns")  # one row each
+
+
 def safe_values(df: DataFrame) -> DataFrame:
     """Null, NaN and infinite cells as empty text, for workbooks."""
     out = []

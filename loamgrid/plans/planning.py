@@ -59,22 +59,61 @@ def apply_to(rule: str, columns: list[str], config: dict | None = None) -> list[
 
 
 def from_entries(entries: list[dict], columns: list[str]) -> tuple[list[Rule], list[dict]]:
-    """Rules of entries {column, dimension, rule, config}, and the entries on columns that do not exist."""
-    rules = [Rule(e["column"], e.get("dimension") or dimension_of(e["rule"]), e["rule"], e.get("config") or {}) for e in entries if e.get("column") in columns]
-    return rules, [e for e in entries if e.get("column") not in columns]
+    """Rules of entries {column, dimension, rule, config}, and the entries on columns that do not exist.
+
+    Entries of one column and rule are one rule; the settings of the later entry win where it has them.
+    """
+    made: dict[tuple, Rule] = {}
+    for e in entries:
+        if e.get("column") not in columns:
+            continue
+        dimension = e.get("dimension") or dimension_of(e["rule"])
+        key = (e["column"], dimension, e["rule"])
+        old = made[key].config if key in made else {}
+        made[key] = Rule(e["column"], dimension, e["rule"], {**old, **(e.get("config") or {})})
+    return list(made.values()), [e for e in entries if e.get("column") not in columns]
+
+
+def selected(rules: list[Rule], dimension: str | None = None, column: str | None = None) -> list[Rule]:
+    """The rules of a dimension, of a column, or of both."""
+    return [r for r in rules if dimension in (None, r.dimension) and column in (None, r.column)]
+
+
+def library(kind: str) -> dict[str, list[str]]:
+    """The rules that a dataset kind's suggestions use, by dimension."""
+    used = dict.fromkeys(r for rules in SUGGESTED.get(kind, {}).values() for r in rules)
+    out: dict[str, list[str]] = {}
+    for r in used:
+        out.setdefault(dimension_of(r), []).append(r)
+    return out
+
+
+def _bound(value) -> float | None:
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return None
 
 
 def problems(rule: Rule) -> list[str]:
-    """What is wrong with a rule's settings."""
+    """What is wrong with a rule's settings, of whatever type these are."""
     c, out = rule.config, []
-    if rule.rule == "Numeric Range" and float(c.get("range_min", 0)) > float(c.get("range_max", 100)):
-        out.append("minimum above maximum")
-    if rule.rule == "Allowed Values" and not (c.get("allowed_values_str") or c.get("allowed_values") or "").strip(" ,"):
+    words = lambda *keys: next((str(c[k]) for k in keys if c.get(k)), "")
+    if rule.rule == "Numeric Range":
+        lo, hi = _bound(c.get("range_min", 0)), _bound(c.get("range_max", 100))
+        if lo is None or hi is None:
+            out.append("bound is no number")
+        elif lo > hi:
+            out.append("minimum above maximum")
+    if rule.rule == "Allowed Values" and not words("allowed_values_str", "allowed_values").strip(" ,"):
         out.append("no allowed values")
-    if rule.rule in ("Custom Regex", "Format Check") and not usable(c.get("regex", c.get("custom_regex", c.get("format_pattern", "x")))):
+    if rule.rule in ("Custom Regex", "Format Check") and not usable(words("regex", "custom_regex", "format_pattern")):
         out.append("pattern does not compile")
-    if rule.rule == "Replace Null with Default" and not c.get("null_default", "N/A").strip():
+    if rule.rule == "Replace Null with Default" and not str(c.get("null_default", "N/A")).strip():
         out.append("empty default")
+    for key in ("min_length", "min_length_val", "max_length_val"):
+        if key in c and (_bound(c[key]) is None or _bound(c[key]) < 0):
+            out.append(f"{key} is no length")
     return out
 
 

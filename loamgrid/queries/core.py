@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loamgrid.operators import quality
-from loamgrid.queries import duplicates, rules, studio
+from loamgrid.queries import duplicates, rules, sources, studio
 from loamgrid.session import cut, table
 
 TEXT_COLUMNS = ("vendor_id", "vendorname", "city", "country", "contact_email", "phone", "pan_number", "payment_terms", "credit_limit", "rating", "status", "source_system")
@@ -26,8 +28,21 @@ def _each(spark, d, f):
     return out
 
 
+def _shapes(counts, watch):
+    return cut(quality.shapes(counts, watch))  # read by the search and by the coverage
+
+
 def p5_found(spark, d):
-    return quality.findings(_each(spark, d, quality.changes))
+    """The changes of all measures; rows that break a Format rule are counted through the expressions of their column."""
+
+    def one(counts, watch):
+        counts = cut(counts)  # read by the measures, the shapes and the mix
+        if not watch.patterns:
+            return quality.changes(counts, watch)
+        s = _shapes(counts.where(F.col("column_name").isin(*watch.patterns)), watch)
+        return quality.changes(counts, watch, quality.covered(s, quality.induce(s)))
+
+    return quality.findings(_each(spark, d, one))
 
 
 def p5_profile(spark, d):
@@ -35,18 +50,28 @@ def p5_profile(spark, d):
 
 
 def p5_expressions(spark, d):
-    return _each(spark, d, lambda c, w: quality.induce(quality.shapes(c))).drop("kinds", "bits")
+    found = _each(spark, d, lambda c, w: quality.induce(quality.shapes(c)))
+    return found.groupBy("table_name", "column_name", "expression").agg(F.sum("n_values").alias("n_values"))
 
 
-def p5_coverage(spark, d):
+def _coverages(spark, d):
     def one(c, w):
-        s = cut(quality.shapes(c))  # read twice
+        s = _shapes(c, w)
         return quality.coverage(s, quality.induce(s))
 
     return _each(spark, d, one)
 
 
-QUERIES: dict = {f.__name__: f for f in (p5_found, p5_profile, p5_expressions, p5_coverage)}
+def p5_coverage(spark, d):
+    return _coverages(spark, d)
+
+
+def p5_coverage_changes(spark, d):
+    """Expressions whose share of a column's rows changed between neighbouring loads."""
+    return quality.coverage_findings(_coverages(spark, d))
+
+
+QUERIES: dict = {f.__name__: f for f in (p5_found, p5_profile, p5_expressions, p5_coverage, p5_coverage_changes)}
 
 _MISS = "coalesce(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))) in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a'), true)"
 _CELLS = " union all ".join(
@@ -81,6 +106,6 @@ select table_name, load_id, column_name, 'range' from q where rng > 0.15 + 1e-9
 select m.table_name, m.load_id, m.column_name, 'mix' from m join q using (table_name, load_id, column_name) where m.change > 0.25 + 1e-9""",
 }
 
-for _module in (rules, duplicates, studio):
+for _module in (rules, duplicates, studio, sources):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamgrid.operators import components as comp
-from loamgrid.operators import exact, fuzzy
+from loamgrid.operators import exact, fuzzy, report, uniqueness
 from loamgrid.queries.dirty import SQL as DV
 from loamgrid.queries.dirty import dirty
 from loamgrid.session import table
@@ -65,10 +65,7 @@ def normalize_text(spark, d):
 
 
 def _missing(spark, d):
-    df = dirty(spark, d)
-    fields = ["email", "phone", "balance", "since"]
-    gone = F.array(*(F.when(exact.normalized(F.col(c)).isNull(), F.lit(c)) for c in fields))
-    return df.select(F.explode(F.filter(gone, lambda x: x.isNotNull())).alias("_missing_field"), F.lit("Missing value").alias("_issue"), (F.col("rn") - 1).alias("_row_id"), "cust_id", *fields)
+    return exact.missing(dirty(spark, d), ["email", "phone", "balance", "since"], F.col("rn") - 1, ["cust_id", "email", "phone", "balance", "since"])
 
 
 def missing_exceptions(spark, d):
@@ -76,7 +73,12 @@ def missing_exceptions(spark, d):
 
 
 def missing_summary(spark, d):
-    return _missing(spark, d).groupBy(F.col("_missing_field").alias("field")).agg(F.count("*").alias("missing_rows")).orderBy(F.col("missing_rows").desc())
+    return exact.missing_summary(_missing(spark, d))
+
+
+def normalize_table(spark, d):
+    """Text columns only: numbers stay as they are."""
+    return exact.normalized_table(dirty(spark, d).withColumn("balance", F.expr("try_cast(balance as double)")).select("rn", "name", "email", "balance"))
 
 
 def fuzzy_core(spark, d):
@@ -100,8 +102,50 @@ def fuzzy_values(spark, d):
 
 
 def components(spark, d):
-    o = table(spark, d, "orders").where("o_custkey is not null").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") - F.col("o_orderkey") % 7).alias("dst"))
-    return comp.components(o.where("src % 11 <> 0 and dst >= 0"))
+    """Customers and the orders' shares of them as a graph: each order links its customer to a part of the key's range."""
+    o = table(spark, d, "orders").where("o_custkey is not null and o_orderkey is not null")
+    return comp.components(o.select(F.col("o_custkey").alias("src"), (-1 - F.floor(F.col("o_custkey") / 5)).alias("dst")))
+
+
+def _plan():
+    return uniqueness.Uniqueness(("email", "phone"), (("pan", "segment"),))
+
+
+def uniqueness_records(spark, d):
+    """Single columns whose group numbers collide, then a combination; each row once."""
+    records, _ = uniqueness.duplicates(dirty(spark, d), _plan(), F.col("rn"))
+    return records.select("Row_Number", "_Source_Column", "Duplicate_Group_ID", "Duplicate_Type")
+
+
+def uniqueness_issues(spark, d):
+    return uniqueness.duplicates(dirty(spark, d), _plan(), F.col("rn"))[1].drop("_ord")
+
+
+def uniqueness_log(spark, d):
+    df = dirty(spark, d)
+    return uniqueness.log(uniqueness.duplicates(df, _plan(), F.col("rn"))[0], df.count())
+
+
+def uniqueness_fuzzy(spark, d):
+    """Exact and near-equal vendor names in one plan; each row once."""
+    df = table(spark, d, "vendor_master").select("row_id", "vendorname", "city", "country")
+    plan = uniqueness.merge([uniqueness.Uniqueness(("vendorname",)), uniqueness.Uniqueness(alike=(uniqueness.Alike(("vendorname", "city"), 90, (3.0, 1.0)),))])
+    return uniqueness.duplicates(df, plan, F.col("row_id") + 2)[0].select("Row_Number", "Duplicate_Type", "Duplicate_Group_ID")
+
+
+def dup_groups(spark, d):
+    return report.duplicate_groups(exact.multi_single(dirty(spark, d), ["email", "phone"], F.col("rn")))
+
+
+def dup_columns(spark, d):
+    df = _part(spark, d)
+    both = exact.basic(df, "Exact name", ["p_name", "p_type"]).unionByName(exact.basic(df, "Exact name and brand", ["p_name", "p_brand"]))
+    return report.duplicate_columns(both, "_match_cols")
+
+
+def duplicate_rows(spark, d):
+    df = dirty(spark, d)
+    return report.unique_rows(exact.multi_single(df, ["email", "phone"], F.col("rn")), df.count())
 
 
 _NULLISH = "coalesce(lower(trim({c})) in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a'), true)"
@@ -123,6 +167,7 @@ def _basic(src: str, cols: str, key: str, name: str, match: str) -> str:
 
 
 _MISSING = " union all ".join(f"select '{c}' _missing_field, 'Missing value' _issue, rn - 1 _row_id, cust_id, email, phone, balance, since from dv where nullif(trim({c}), '') is null" for c in ("email", "phone", "balance", "since"))
+_UNIQUE = f"with dv as ({DV}), u as (" + " union all ".join(f"select r Row_Number, '{c}' _Source_Column, g Duplicate_Group_ID, 'Exact' Duplicate_Type, {c} v, 0 o from ({_single('dv', f'lower(trim({c}))', 'rn', 'not ' + _NULLISH.format(c=c))})" for c in ("email", "phone")) + f" union all select r, null, g, 'Combination', pan || ' | ' || segment, 1 from ({_single('dv', 'struct_pack(a := lower(trim(pan)), b := lower(trim(segment)))', 'rn', 'true')})) "
 SQL = {
     "dup_single": f"select {_PC.format(t=chr(39) + 'Exact' + chr(39))} from ({_single(_P, 'lower(trim(p_name))', 'p_partkey + 2', 'p_name is not null')})",
     "dup_multi_single": f"with dv as ({DV}) " + " union all ".join(f"select r Row_Number, '{c}' _Source_Column, g Duplicate_Group_ID, 'Exact' Duplicate_Type, 100.0::double Similarity_Score from ({_single('dv', f'lower(trim({c}))', 'rn', 'not ' + _NULLISH.format(c=c))})" for c in ("email", "phone", "pan")),
@@ -136,8 +181,15 @@ SQL = {
     "missing_exceptions": f"with dv as ({DV}) {_MISSING}",
     "missing_summary": f"with dv as ({DV}), x as ({_MISSING}) select _missing_field field, count(*) missing_rows from x group by 1",
     "fuzzy_skipped": "select *, n_rows * (n_rows - 1) // 2 n_pairs from (select substring(lower(trim(p_name)), 1, 2) _block, count(*) n_rows from part where p_name is not null group by 1) where n_rows * (n_rows - 1) // 2 > 20000",
-    "components": """with recursive e as (select distinct o_custkey src, o_custkey - o_orderkey % 7 dst from orders where o_custkey % 11 <> 0 and o_custkey - o_orderkey % 7 >= 0),
- b as (select src, dst from e union select dst, src from e), r(node, seen) as (select src, src from b union select b.dst, r.seen from r join b on b.src = r.node where r.seen < b.dst or true)
+    "components": """with recursive e as (select distinct o_custkey src, -1 - o_custkey // 5 dst from orders where o_custkey is not null and o_orderkey is not null),
+ b as (select src, dst from e union select dst, src from e), r(node, seen) as (select src, src from b union select b.dst, r.seen from r join b on b.src = r.node)
  select node, min(seen) component from r group by 1""",
+    "normalize_table": f"with dv as ({DV}) select rn, {_NORM.format(c='name')} name, {_NORM.format(c='email')} email, try_cast(balance as double) balance from dv",
+    "uniqueness_records": _UNIQUE + "select Row_Number, _Source_Column, Duplicate_Group_ID, Duplicate_Type from (select *, row_number() over (partition by Row_Number order by o, _Source_Column) w from u) where w = 1",
+    "uniqueness_issues": _UNIQUE + "select Row_Number, coalesce(_Source_Column, 'pan + segment') Column_Name, case when o = 0 then 'Single Column Exact Duplicate' else 'Combination Column Exact Duplicate' end Rule_Applied, 'Duplicate (Group ' || Duplicate_Group_ID || ')' Issue_Type, v Original_Value, case when o = 0 then 'Unique value' else 'Unique combination' end Expected_Value, 'Uniqueness' Dimension from u",
+    "uniqueness_log": _UNIQUE + ", f as (select (select count(*) from dv) n, (select count(distinct Row_Number) from u) k), g as (select *, round_even((n - k) / n * 100, 2) s from f) select 'Uniqueness' Dimension, 'ALL' \"Column\", 'Exact/Fuzzy Duplicate Check' Rule, n Evaluated, k Failed, n - k Passed, s Score, case when s < 50 then 'Critical' when s < 70 then 'High' when s < 85 then 'Medium' when s < 95 then 'Low' else 'Pass' end Severity, 'Duplicate Records' Issue_Type from g",
+    "dup_groups": _UNIQUE + "select Duplicate_Type, _Source_Column, Duplicate_Group_ID, count(*) n_rows from u where o = 0 group by 1, 2, 3",
+    "dup_columns": f"with x as (select unnest(['p_name', 'p_type']) \"column\", n from ({_basic(_P, 'n', f"p_name || '{_BK}' || p_type", 'a', 'a').replace('n _group_size, ', '')}) union all select unnest(['p_name', 'p_brand']), n from ({_basic(_P, 'n', f"p_name || '{_BK}' || p_brand", 'b', 'b').replace('n _group_size, ', '')})) select \"column\", count(*) n_rows from x group by 1",
+    "duplicate_rows": _UNIQUE + "select count(distinct Row_Number) unique_rows from u where o = 0",
 }
-QUERIES = {f.__name__: f for f in (dup_single, dup_multi_single, dup_combo, dup_dispatch, dup_documents, basic_exact, basic_exact_summary, basic_nulls, normalize_text, missing_exceptions, missing_summary, fuzzy_core, fuzzy_basic, fuzzy_skipped, fuzzy_values, components)}
+QUERIES = {f.__name__: f for f in (dup_single, dup_multi_single, dup_combo, dup_dispatch, dup_documents, basic_exact, basic_exact_summary, basic_nulls, normalize_text, missing_exceptions, missing_summary, normalize_table, uniqueness_records, uniqueness_issues, uniqueness_log, uniqueness_fuzzy, dup_groups, dup_columns, duplicate_rows, fuzzy_core, fuzzy_basic, fuzzy_skipped, fuzzy_values, components)}

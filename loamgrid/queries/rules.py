@@ -125,8 +125,82 @@ def report_summary(spark, d):
 
 
 def report_mismatches(spark, d):
+    """An annexure list made before the last column's issues were found, held against all issues."""
     i = _issues(spark, d)[1]
-    return report.mismatches(report.groups(i), i)
+    return report.mismatches(report.groups(i.where("Column_Name <> 'phone' and not (Rule_Applied = 'Not Null' and Column_Name = 'since')")), i).select("annexure_no", "rule_label", "row_count", F.col("_n").alias("rows_now"))
+
+
+def whitespace_annexure(spark, d):
+    """Whitespace Only, any text, and Proper Case."""
+    df = dirty(spark, d)
+    checks = plan([Rule("email", "Completeness", "Whitespace Only"), Rule("email", "Validity", "Data Type Validation", {"data_type": "string"})], df.columns)
+    return assess.issues(df, checks + standardize([Rule("name", "Standardization", "Convert to Proper Case")], df.columns)[0], F.col("rn")).drop("_ord")
+
+
+def _whole_log(spark, d):
+    from loamgrid.operators import uniqueness
+    from loamgrid.queries.duplicates import _plan
+
+    df = dirty(spark, d)
+    records, _ = uniqueness.duplicates(df, _plan(), F.col("rn"))
+    return _log(spark, d).unionByName(uniqueness.log(records, df.count()))
+
+
+def whole_scores(spark, d):
+    """The scores of all four dimensions."""
+    return assess.dimension_scores(_whole_log(spark, d))
+
+
+def whole_overall(spark, d):
+    return assess.overall(whole_scores(spark, d))
+
+
+def invalid_rows(spark, d):
+    df, i = _issues(spark, d)
+    return report.unique_rows(i, df.count())
+
+
+def dashboard(spark, d):
+    df, i = _issues(spark, d)
+    return report.dashboard(i, _log(spark, d), df.count())
+
+
+def report_tables(spark, d):
+    """Name and rows of each table of the full report."""
+    from loamgrid.operators import uniqueness
+    from loamgrid.queries.duplicates import _plan
+
+    df, i = _issues(spark, d)
+    records, _ = uniqueness.duplicates(df, _plan(), F.col("rn"))
+    out = None
+    for name, t in report.full_set(df, i, records, F.col("rn")).items():
+        one = t.agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def annexures_with_duplicates(spark, d):
+    from loamgrid.operators import exact
+
+    df, i = _issues(spark, d)
+    return report.groups(i, exact.single(df, "email", F.col("rn")))
+
+
+def duplicates_sheet(spark, d):
+    from loamgrid.operators import uniqueness
+    from loamgrid.queries.duplicates import _plan
+
+    df, i = _issues(spark, d)
+    records, _ = uniqueness.duplicates(df, _plan(), F.col("rn"))
+    return report.duplicates_sheet(df, records, i, F.col("rn")).select("Row_Number", "Duplicate_Type", "Duplicate_Group_ID", "email", "Issues", "Count_of_issues")
+
+
+def clean_two_columns(spark, d):
+    """Groups of two columns, whose numbers collide."""
+    from loamgrid.operators import exact
+
+    df, i = _issues(spark, d)
+    return report.clean_set(df, exact.multi_single(df, ["email", "phone"], F.col("rn")), i, F.col("rn")).select("Row_Number", "email", "phone", "Issue_Flag")
 
 
 def results_sheet(spark, d):
@@ -204,6 +278,11 @@ def _chain_sql() -> tuple[str, str]:
     return " union all ".join(parts), ", ".join(f"{now.get(c, c)} {c}" for c in ("rn", "cust_id", "name", "email", "phone", "pan", "balance", "since", "segment"))
 
 
+def _grouped_sql(c: str, key: str, cond: str, kind: str, o: int) -> str:
+    return f"select rn Row_Number, {o} o, {c} c, dense_rank() over (order by f) g, '{kind}' t from (select *, count(*) over (partition by k) n, min(rn) over (partition by k) f from (select *, {key} k from dvu where {cond})) where n > 1"
+
+
+_UNIQ = f"dvu as ({DV}), ux as (" + " union all ".join([_grouped_sql(f"'{c}'", f"lower(trim({c}))", f"not {_NULLISH.format(c=c)}", "Exact", 0) for c in ("email", "phone")] + [_grouped_sql("null", "struct_pack(a := lower(trim(pan)), b := lower(trim(segment)))", "true", "Combination", 1)]) + "), uu as (select (select count(*) from dvu) n, (select count(distinct Row_Number) from ux) k)"
 _CHAIN, _FINAL = _chain_sql()
 _CAT = "case " + " ".join(f"when starts_with(Rule_Applied, '{s}') then '{cat}'" for cat, starts in reversed(report.CATEGORIES.items()) for s in reversed(starts)) + " else 'Invalid Format' end"
 SQL = {
@@ -219,7 +298,18 @@ SQL = {
     "row_issue_map": f"{_ISSUES} {_MAP} select * from m",
     "annexure_groups": f"{_ISSUES} {_GROUPS} select * from g",
     "report_summary": f"{_ISSUES} {_GROUPS} select 'Annexure ' || annexure_no S_No, rule_label Particulars, row_count Total_Records from g",
-    "report_mismatches": f"{_ISSUES} {_GROUPS} select *, '' Rule_Applied, 0 _n from g where false",
+    "report_mismatches": f"{_ISSUES}, h as (select row_number() over (order by count(distinct Row_Number) desc, min(_ord)) annexure_no, Rule_Applied rule_label, count(distinct Row_Number) row_count from i where Column_Name <> 'phone' and not (Rule_Applied = 'Not Null' and Column_Name = 'since') group by 2), k as (select Rule_Applied, count(distinct Row_Number) rows_now from i group by 1) select annexure_no, rule_label, row_count, rows_now from h left join k on Rule_Applied = rule_label where rows_now is distinct from row_count",
+    "whitespace_annexure": f"with dv as ({DV}) select rn Row_Number, 'email' Column_Name, 'Whitespace Only' Rule_Applied, '{_MV}' Issue_Type, chr(39) || email || chr(39) Original_Value, 'Non-whitespace value' Expected_Value, 'Completeness' Dimension from dv where regexp_full_match(email, '\\s+') union all select * from (select rn, 'name', 'Convert to Proper Case', '{_NS}', name, array_to_string(list_transform(regexp_extract_all(trim(name), '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') e, 'Standardization' from dv) where e <> name",
+    "whole_scores": f"{_DIM}, {_UNIQ} select * from s union all select 'Uniqueness', round_even((n - k) / n * 100, 2) from uu",
+    "whole_overall": f"{_DIM}, {_UNIQ} select round_even(avg(Score), 2) Overall from (select Score from s union all select round_even((n - k) / n * 100, 2) from uu)",
+    "invalid_rows": f"{_ISSUES} select count(distinct Row_Number) unique_rows from i",
+    "dashboard": f"{_ISSUES}, {_LOGS}, q as (select (select count(*) from dv) n, (select count(distinct Row_Number) from i) b) select n - b clean_rows, b issue_rows, (select count(*) from (select 1 from l group by \"Column\" having sum(Failed) = 0)) perfect_columns from q",
+    "report_tables": f"{_ISSUES} {_MAP}{_GROUPS}, {_UNIQ.replace('with', '')} select 'Results' sheet, count(*) n_rows from m union all select 'Annexure ' || annexure_no, row_count from g union all select x, k from uu, (select unnest(['Annexure ' || (select count(*) + 1 from g), 'Duplicates']) x) union all select 'Summary', count(*) + 1 from g",
+    "annexures_with_duplicates": f"{_ISSUES} {_GROUPS}, e as (select count(*) over (partition by lower(trim(email))) n from dv where not {_NULLISH.format(c='email')}) select * from g union all select (select count(*) + 1 from g), 'Duplicates', count(*), true from e where n > 1",
+    "duplicates_sheet": f"{_ISSUES} {_MAP}, {_UNIQ} select Row_Number, t Duplicate_Type, g Duplicate_Group_ID, email, Issues, Count_of_issues from (select *, row_number() over (partition by Row_Number order by o, c) w from ux) join dv on rn = Row_Number left join m using (Row_Number) where w = 1",
+    "clean_two_columns": f"""{_ISSUES}, e as (select rn, k, count(*) over (partition by c, k) n, min(rn) over (partition by c, k) m from (select rn, 1 c, lower(trim(email)) k from dv where not {_NULLISH.format(c='email')} union all select rn, 2, lower(trim(phone)) from dv where not {_NULLISH.format(c='phone')})),
+ x as (select rn, bool_or(rn = m) lead from e where n > 1 group by rn)
+ select rn Row_Number, email, phone, case when rn in (select rn from x) or rn in (select Row_Number from i) then 'Yes' else 'No' end Issue_Flag from dv where rn not in (select rn from x where not lead)""",
     "results_sheet": f"{_ISSUES} {_MAP} select m.*, dv.* exclude (rn) from m join dv on rn = Row_Number",
     "rule_annexure": f"{_ISSUES} {_MAP} select * from m where Row_Number in (select Row_Number from i where Rule_Applied = 'Email Format')",
     "issue_classification": f"{_ISSUES}, k as (select {_CAT} category, count(*) n_issues, count(distinct Row_Number) unique_rows, string_agg(distinct Rule_Applied, ' | ' order by Rule_Applied) rules from i group by 1) select *, case when unique_rows > 500 or n_issues > 1000 then 'HIGH' when unique_rows > 100 or n_issues > 200 then 'MEDIUM' else 'LOW' end severity from k",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -39,7 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    A temporary folder is made only where neither is set and Spark runs inside one process, as in tests.
+    A temporary folder is made only where neither is set and Spark runs inside one process, as in tests; it is deleted
+    when the process ends.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -48,13 +51,32 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loamgrid-")
         sc.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, True)
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's tables; sweep() deletes it, when no result that reads them is needed any more."""
+    return f"{shared_folder(spark)}/loamgrid-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete every table that cut() wrote in this application."""
+    _delete(spark, scratch(spark))
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Write df as a table in the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    Operators delete with drop_cut() what no result reads; what a returned, lazy result reads stays until sweep().
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,9 +84,7 @@ def cut(df: DataFrame) -> DataFrame:
 def drop_cut(df: DataFrame) -> None:
     """Delete a table that cut() wrote, once nothing reads it any more."""
     for name in {f.rpartition("/")[0] for f in df.inputFiles() if "/cut-" in f}:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name)
 
 
 def bounded_collect(df: DataFrame, most: int, what: str) -> list:

@@ -18,6 +18,10 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 MOST_WORKBOOK_BYTES = 200_000_000
 
 
+#: Delimited files as they are written: cells keep their blanks, quotes are doubled.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def _trimmed(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.strip() for c in df.columns))
 
@@ -114,6 +118,53 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> D
     return spark.createDataFrame(body, StructType([StructField(h, StringType()) for h in header]))
 
 
+def read_workbook_typed(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """One sheet with inferred types: long, double, boolean or text for each column; empty cells are null."""
+    df = read_workbook(spark, path, sheet)
+    if not df.columns:
+        return df
+    cells = [F.nullif(F.col(f"`{c}`"), F.lit("")) for c in df.columns]
+    tests = (("bigint", r"[+-]?[0-9]{1,18}"), ("double", r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"), ("boolean", r"(?i)true|false"))
+    fits = df.agg(*(F.coalesce(F.bool_and(c.rlike(rf"\A(?:{p})\z")), F.lit(False)).alias(f"{t}{i}") for i, c in enumerate(cells) for t, p in tests)).first()
+    kind = lambda i: next((t for t, _ in tests if fits[f"{t}{i}"]), "string")
+    return df.select(*(c.cast(kind(i)).alias(n) for i, (c, n) in enumerate(zip(cells, df.columns))))
+
+
+def preview(df: DataFrame, rows: int = 10) -> DataFrame:
+    """The first rows of a table, for a look."""
+    return df.limit(rows)
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """(rows, columns) of a table."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"))
+
+
+def own_columns(df: DataFrame) -> DataFrame:
+    """The table without the columns that operators added: those whose names begin with an underscore."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("_")))
+
+
+def golden_set(annotated: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a survivorship report. annotated has _golden."""
+    grouped = annotated.where("_is_duplicate")
+    return {"Duplicate Groups": grouped.orderBy("_dup_group_id", "_row_id"), "Golden Records": own_columns(annotated.where("_golden")), "Discarded Records": own_columns(annotated.where("not _golden"))}
+
+
+def missing_set(exceptions: DataFrame, counts: DataFrame, fields: list[str]) -> dict[str, DataFrame]:
+    """The exceptions of each field, and their summary."""
+    return {**{f: exceptions.where(F.col("_missing_field") == f).drop("_missing_field") for f in fields}, "Summary": counts}
+
+
+def bundle(files: dict[str, bytes]) -> bytes:
+    """Small files as one compressed archive."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
 def safe_sheet_name(name: str, used: set[str]) -> str:
     """At most 31 letters without signs that workbooks forbid, made unique by a number."""
     base = re.sub(r"[\[\]:*?/\\]", "_", name)[:31] or "Sheet"
@@ -148,7 +199,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         path = f"{folder}/{safe_sheet_name(name, used).replace(' ', '_')}"
-        writer.csv(path, header=True) if kind == "csv" else writer.parquet(path)
+        writer.csv(path, **CSV) if kind == "csv" else writer.parquet(path)
 
 
 def read_rulebook(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loamgrid.functions import scorers
-from loamgrid.operators import components, exact, fuzzy, ids, ratings, report, studio
+from loamgrid.operators import components, exact, fuzzy, ids, ratings, report, studio, uniqueness
 
 
 def frame(spark, values, schema="i int, v string"):
@@ -84,14 +84,18 @@ def test_fuzzy_matches_brute_force(spark, parts):
 
 def test_oversize_blocks_are_reported(spark):
     df = frame(spark, [f"ab{i}" for i in range(201)] + [f"cd{i}" for i in range(200)])
-    _, skipped = fuzzy.matches(df, ["v"], F.col("i"), threshold=99)
+    _, skipped = fuzzy.matches(df, ["v"], F.col("i"), threshold=99, max_pairs=20_000)
     assert [(r["_block"], r["n_pairs"]) for r in skipped.collect()] == [("ab", 20_100)]
 
 
 def test_value_clusters_do_not_chain(spark):
     df = frame(spark, ["acme corp", "acme corps", "zeta", None, ""])
     assert {(r["leader"], r["value"]) for r in fuzzy.value_clusters(df, "v", 85).collect()} == {("acme corp", "acme corp"), ("acme corp", "acme corps")}
-    assert fuzzy.value_clusters(df, "v", 85, most=2).count() == 0
+    with pytest.raises(ValueError):
+        fuzzy.value_clusters(df, "v", 85, most=2)
+    assert fuzzy.value_clusters(df, "v", 85, most=None).count() == 2
+    by_row = frame(spark, ["acme corps", "ACME corp ", "zeta"])
+    assert {r["leader"] for r in fuzzy.value_clusters(by_row, "v", 85, row=F.col("i")).collect()} == {"acme corps"}
     got = studio.leader_groups(frame(spark, ["acme corp", "zeta", "acme corps"]), "v", F.col("i")).collect()
     assert sorted((r["_row_id"], r["_dup_group_id"]) for r in got) == [(0, "DG-0001-F"), (2, "DG-0001-F")]
 
@@ -115,6 +119,93 @@ def test_clean_set_keeps_first_of_each_group(spark):
     assert got == {0: "Yes", 2: "No"}
 
 
+def test_clean_set_tells_groups_of_two_columns_apart(spark):
+    from loamgrid.operators import assess
+    from loamgrid.plans.rules import Rule, plan
+
+    cells = [("a@x", "1")] + [("e", "2"), ("e", "3")] + [(None, str(k)) for k in range(10, 16)] + [(None, "77"), ("f", "77"), ("f", "9")]
+    df = spark.createDataFrame([(i, m, p) for i, (m, p) in enumerate(cells)], "i int, mail string, phone string")
+    issues = assess.issues(df, plan([Rule("mail", "Completeness", "Not Empty")], df.columns), F.col("i"))
+    kept = {r["Row_Number"] for r in report.clean_set(df, exact.multi_single(df, ["mail", "phone"], F.col("i")), issues, F.col("i")).collect()}
+    # Row 2 follows row 1 by mail; row 10 follows row 9 by phone, but leads row 11 by mail, so it stays, once.
+    assert kept == set(range(12)) - {2, 11}
+
+
+def test_recency_in_a_group_that_spans_partitions(spark):
+    df = spark.range(0, 3000, 1, 7).selectExpr("cast(id as int) as i", "case when id % 3 < 2 then 'hot' when id < 1500 then concat('k', id % 40) else concat('s', id) end as g", "cast(case when id % 11 = 0 then null else id % 500 end as int) as t", "'x' as _n")
+    got = exact.studio(df, ["g"], F.col("i"), "t").select("i", "g", "t", "_recency_rank", "_dup_count").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["g"], []).append(r)
+    assert len(got) == 3000
+    for rows in groups.values():
+        rows.sort(key=lambda r: (r["t"] is None, -(r["t"] or 0), r["i"]))
+        assert [r["_recency_rank"] for r in rows] == (list(range(1, len(rows) + 1)) if len(rows) > 1 else [0])
+
+
+def test_all_sixteen_studio_rules_answer(spark):
+    df = frame(spark, ["acme corp", "acme corps", "ACME corp", "zeta", None, " "])
+    rules = ("not_null", "min_fill_pct", "email_format", "numeric_only", "date_format", "regex_pattern", "allowed_values", "range_check", "trim_spaces", "mixed_case", "special_chars", "fuzzy_standardize", "unique_values", "unique_combo", "fuzzy_dups", "no_such_rule")
+    arg = {"unique_combo": "i, v", "allowed_values": "zeta", "regex_pattern": "z"}
+    got = {r["rule"]: (r["fail_count"], r["pass_count"], r["score"]) for r in studio.rules(df, [("v", r, arg.get(r, "")) for r in rules]).collect()}
+    assert set(got) == set(rules) and all(f + p == 6 for f, p, _ in got.values())
+    assert got["min_fill_pct"] == (2, 4, 66.67) and got["fuzzy_standardize"] == (3, 3, 25.0) and got["fuzzy_dups"] == (3, 3, 25.0)
+    assert got["unique_values"] == (0, 6, 100.0) and got["no_such_rule"] == (0, 6, 100.0) and got["allowed_values"] == (3, 3, 25.0)
+    empty = {r["rule"]: r["score"] for r in studio.rules(df.limit(0), [("v", r, arg.get(r, "")) for r in rules]).collect()}
+    assert len(empty) == 16 and empty["fuzzy_dups"] == 100.0
+
+
+def test_uniqueness_as_one_plan(spark):
+    df = spark.createDataFrame([(0, "k", "m", "acme corp"), (1, "k", "m", "acme corpx"), (2, "z", "m", "acme crop"), (3, "y", "n", "zeta"), (4, None, None, None)], "i int, a string, b string, c string")
+    plan = uniqueness.merge([uniqueness.Uniqueness(("a", "no such")), uniqueness.Uniqueness(("a",), (("a", "b"), ("b",)), (uniqueness.Alike(("c",), 70),))])
+    records, issues = uniqueness.duplicates(df, plan, F.col("i"))
+    assert sorted((r["Row_Number"], r["Duplicate_Type"]) for r in records.collect()) == [(0, "Exact"), (1, "Exact"), (2, "Hybrid Fuzzy")]
+    assert {(r["Rule_Applied"], r["Row_Number"]) for r in issues.collect()} == {("Single Column Exact Duplicate", 0), ("Single Column Exact Duplicate", 1), ("Combination Column Exact Duplicate", 0), ("Combination Column Exact Duplicate", 1), *(("Fuzzy Match (>=70%)", i) for i in range(3))}
+    entry = uniqueness.log(records, 5).first()
+    assert (entry["Evaluated"], entry["Failed"], entry["Score"], entry["Severity"]) == (5, 3, 40.0, "Critical")
+    none, no_issues = uniqueness.duplicates(df, uniqueness.Uniqueness(("no such",)), F.col("i"))
+    assert none.count() == no_issues.count() == 0 and uniqueness.log(none, 5).first()["Score"] == 100.0
+
+
+def test_fuzzy_groups_leave_exact_groups_alone(spark):
+    df = frame(spark, ["acme corp", "acme corp", "bolt works", "bolt workz", "BOLT WORKS", None], "i int, v string")
+    got = {r["i"]: (r["_match_type"], r["_dup_group_id"], r["_dup_count"]) for r in studio.with_fuzzy(exact.studio(df, ["v"], F.col("i")), "v").collect()}
+    assert got[0] == got[1] and got[0][0] == "Exact" and got[2] == got[4] and got[3][0] == "" and got[5][0] == ""
+    free = frame(spark, ["acme corp", "bolt works", "bolt workz"])
+    annotated = studio.with_fuzzy(exact.studio(free, ["v"], F.col("i")), "v")
+    assert {r["i"]: r["_match_type"] for r in annotated.collect()} == {0: "", 1: "Fuzzy", 2: "Fuzzy"}
+    assert studio.kpis(annotated).first()["fuzzy_rows"] == 2
+
+
+def test_rows_of_a_hot_key_are_split(spark):
+    rows = spark.range(0, 60_000, 1, 6).selectExpr("cast(id as int) as i", "case when id % 10 < 7 then 'hot key' else concat('k', id % 9000) end as v", "repeat('x', 40) as w")
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        got = exact.single(rows, "v", F.col("i"))
+        assert len(got.collect()) > 42_000
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_tables_are_deleted(spark):
+    import glob
+
+    from loamgrid.session import scratch, sweep
+
+    components.components(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).collect()
+    folder = scratch(spark)
+    before = len(glob.glob(f"{folder}/cut-*"))
+    components.components(spark.createDataFrame([(1, 2), (2, 3), (8, 9)], "src long, dst long")).collect()
+    assert len(glob.glob(f"{folder}/cut-*")) == before + 1
+    sweep(spark)
+    assert not glob.glob(f"{folder}/cut-*")
+
+
 def test_scorer_fixtures():
     for a, b, r, s, t in [("acme corp", "acme corporation", 72, 72, 72), ("acme corp", "corp acme", 44.4444, 100, 100), ("john smith", "jon smith", 94.7368, 94.7368, 94.7368), ("red widget", "red gadget", 80, 40, 80), ("acme", "zeta", 25, 25, 25)]:
         assert scorers.ratio(a, b) == pytest.approx(r, abs=1e-3) and scorers.token_sort_ratio(a, b) == pytest.approx(s, abs=1e-3) and scorers.token_set_ratio(a, b) == pytest.approx(t, abs=1e-3)
@@ -134,3 +225,10 @@ def test_weighted_mean(spark):
     long = spark.createDataFrame([("A", "q1", 2.0, "o", "Adhoc"), ("A", "q2", 1.0, "o", "Managed"), ("A", "q3", 1.0, "o", None)], "dimension string, question_id string, weight double, object string, rating string")
     assert ratings.dimension_scores(long).first()["score"] == 2.0 and [r["question_id"] for r in ratings.exceptions(long).collect()] == ["q1"] and ratings.invalid(long).count() == 1
     assert [spark.range(1).select(ratings.level(F.lit(s))).first()[0] for s in (39.99, 40, 60, 80, 95)] == ["Adhoc", "Repeatable", "Defined", "Managed", "Optimised"]
+    old = spark.createDataFrame([("q1", 1.0, "Adhoc", "kept"), ("q2", 2.0, "Managed", None)], "q string, weight double, o string, note string")
+    new = spark.createDataFrame([("q1", None, "Defined"), ("q9", 3.0, "Adhoc")], "q string, weight double, o string")
+    assert sorted(tuple(r) for r in ratings.upsert(old, new, "q", ["weight", "o"]).collect()) == [("q1", 1.0, "Defined", "kept"), ("q2", 2.0, "Managed", None), ("q9", 3.0, "Adhoc", None)]
+    raw = spark.createDataFrame([("A", "q1", "x", "odd"), ("A", "q2", "2", " Managed ")], "dimension string, question_id string, weight string, o string")
+    assert [tuple(r)[2:] for r in ratings.from_template(raw, ["o", "absent"]).collect()] == [(1.0, "Adhoc"), (2.0, "Managed")] and ratings.absent(raw, ["o", "absent"]) == ["absent"]
+    assert [spark.range(1).select(ratings.whole_level(F.lit(x)), ratings.as_score(F.lit(str(x)))).first()[:] for x in (0.2, 4.6, 9.0)] == [(1, 0.2), (5, 4.6), (5, 5.0)]
+    assert set(ratings.report_set(long.withColumn("o", F.col("rating")).drop("rating", "object"), ["o"])) == {"Dimension Scores", "Overall", "Details", "Exceptions"}

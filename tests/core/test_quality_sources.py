@@ -28,13 +28,31 @@ def test_findings(spark):
     assert quality.findings(quality.changes(quality.value_counts(loads(spark).limit(0), W), W)).count() == 0
 
 
+def test_violations_counted_through_expressions_equal_those_counted_at_once(spark):
+    c = quality.value_counts(loads(spark), W)
+    s = quality.shapes(c.where("column_name = 'mail'"), W)
+    both = [{tuple(r)[:4]: r["change"] for r in quality.changes(c, W, x).collect()} for x in (None, quality.covered(s, quality.induce(s)))]
+    assert both[0] == both[1] and (loads(spark).count(), any(k[3] == "pattern" for k in both[0])) == (22, True)
+    found = quality.coverage_findings(quality.coverage(s, quality.induce(s))).collect()
+    assert all(abs(r["change"]) > quality.COVERAGE and r["finding"] == "coverage" for r in found)
+
+
+def test_expressions_of_one_build_are_joined():
+    make = lambda kinds, n: quality.Expression(kinds, (1,) * len(kinds), (3,) * len(kinds), n, "", ("".join(kinds),))
+    few = quality._searched([make(("U", "'-", "D"), 2), make(("L", "'-", "D"), 2), make(("D", "'-", "D"), 1)], 5)
+    assert len(few) == 1 and few[0].text_and_bits()[0] == r"[\p{L}0-9]{1,3}\-[0-9]{1,3}" and few[0].n == 5
+    many = quality._searched([make(("U", "'-", "D"), 10_000), make(("D", "'-", "D"), 10_000)], 20_000)
+    assert len(many) == 2
+    assert quality.Expression(("'+", "D", "S", "D"), (1, 2, 1, 3), (1, 2, 1, 5), 99, "+49 3", ("k",)).text_and_bits()[0] == r"\+49 3[0-9]{2,4}"
+
+
 def test_expressions_cover_their_values(spark):
     vals = [f"AB{i:04d}" for i in range(300)] + [f"x-{i}" for i in range(100, 160)] + ["odd one out!", None, "  ", "q" * 50_000]
     df = spark.createDataFrame([(1 + i % 2, v) for i, v in enumerate(vals)], "load_id int, mail string")
     w = quality.Watch("t", ("mail",))
     s = quality.shapes(quality.value_counts(df, w))
     kept = [r["expression"] for r in quality.induce(s).collect()]
-    assert r"\p{Lu}{2}[0-9]{4}" in kept
+    assert r"AB0[0-9]{3}" in kept and r"x\-1[0-9]{2}" in kept
     plain = [k.replace(r"\p{Lu}", "[A-Z]").replace(r"\p{L}", "[a-z]") for k in kept]
     assert all(any(re.fullmatch(k, v) for k in plain) for v in vals[:360])
     cover = quality.coverage(s, quality.induce(s)).collect()
@@ -77,6 +95,24 @@ def test_files(spark, tmp_path):
     assert (rb["column_name"], rb["rule"], rb["dimension"], rb["severity"]) == ("c", "Not Null", "d", None)
 
 
+def test_small_exports(spark, tmp_path):
+    (tmp_path / "t.xlsx").write_bytes(files.workbook({"S": (["a", "b", "c", "d"], [("1", "1.5", "true", "x"), ("", "2", "FALSE", "")])}))
+    df = files.read_workbook_typed(spark, str(tmp_path / "t.xlsx"))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "boolean", "string"] and df.collect()[1][:] == (None, 2.0, False, None)
+    assert files.preview(df, 1).count() == 1 and files.summary(df).first()[:] == (2, 4)
+    marked = df.withColumns({"_is_duplicate": F.lit(True), "_golden": F.col("a").isNotNull(), "_dup_group_id": F.lit("g"), "_row_id": F.lit(1)})
+    out = files.golden_set(marked)
+    assert out["Golden Records"].columns == df.columns and out["Discarded Records"].count() == 1 and out["Duplicate Groups"].count() == 2
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(files.bundle({"x.txt": b"1", "y": b""}))) as z:
+        assert z.namelist() == ["x.txt", "y"] and z.read("x.txt") == b"1"
+    blanks = spark.createDataFrame([("  a ", 'q"')], "x string, y string")
+    files.write_tables({"B": blanks}, str(tmp_path / "o"), "csv")
+    assert files.read(spark, str(tmp_path / "o" / "B") + "/*.csv").first()[:] == ("  a ", 'q"')
+
+
 def test_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "a@b.cd", "2024-01-01 00:00:00"), (2, "bad", "2024-01-01 00:10:00"), (3, "", "2024-01-01 02:00:00")], "i int, mail string, at string").withColumn("at", F.to_timestamp("at"))
     df.write.parquet(str(tmp_path / "in"))

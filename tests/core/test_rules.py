@@ -75,3 +75,27 @@ def test_planning():
     assert planning.problems(Rule("a", "Validity", "Numeric Range", {"range_min": 5, "range_max": 1})) and planning.problems(Rule("a", "Validity", "Custom Regex", {"regex": "("})) and planning.problems(Rule("a", "Validity", "Allowed Values"))
     rules, skipped = planning.from_entries([{"column": "a", "rule": "Not Null"}, {"column": "z", "rule": "Not Null"}], ["a"])
     assert rules == [Rule("a", "Completeness", "Not Null")] and len(skipped) == 1
+
+
+def test_planning_of_entries():
+    from loamgrid.plans import planning
+    from loamgrid.plans.rules import Rule
+
+    entries = [{"column": "a", "rule": "Minimum Length", "config": {"min_length": 2}}, {"column": "a", "rule": "Numeric Range", "config": {"range_min": 1}}, {"column": "a", "rule": "Numeric Range", "config": {"range_max": 5}}, {"column": "gone", "rule": "Not Null"}]
+    rules, gone = planning.from_entries(entries, ["a"])
+    assert rules == [Rule("a", "Completeness", "Minimum Length", {"min_length": 2}), Rule("a", "Validity", "Numeric Range", {"range_min": 1, "range_max": 5})] and len(gone) == 1
+    assert planning.selected(rules, dimension="Validity") == rules[1:] and planning.selected(rules, column="b") == []
+    assert "Not Null" in planning.library("Vendor")["Completeness"] and planning.library("Other") == {}
+    bad = lambda rule, **c: planning.problems(Rule("a", "Validity", rule, c))
+    assert bad("Numeric Range", range_min="x") == ["bound is no number"] and bad("Numeric Range", range_min=None, range_max=3) == ["bound is no number"] and bad("Numeric Range", range_min="9", range_max="3") == ["minimum above maximum"]
+    assert bad("Allowed Values", allowed_values=7) == [] and bad("Allowed Values") == ["no allowed values"] and bad("Custom Regex", regex="([") == ["pattern does not compile"] and bad("Length Check", max_length_val="-1") == ["max_length_val is no length"]
+
+
+def test_scores_without_a_log(spark):
+    from loamgrid.operators import assess
+
+    none = spark.createDataFrame([], "Dimension string, Row_Number long")
+    some = spark.createDataFrame([("Validity", 1), ("Validity", 2)], "Dimension string, Row_Number long")
+    log = spark.createDataFrame([("Validity", 10, 1)], "Dimension string, Evaluated long, Failed long")
+    assert assess.score_of(None, none, "Completeness", 0, 3) == 0.0 and assess.score_of(None, none, "Completeness", 5, 0) == 0.0 and assess.score_of(None, none, "Standardization", 5, 0) == 100.0
+    assert assess.score_of(None, some, "Validity", 4, 2) == 75.0 and assess.score_of(log, some, "Validity", 4, 2) == 90.0 and assess.score_of(log, some, "Completeness", 4, 2) == 100.0
