@@ -6,7 +6,8 @@ row: no shuffle, no sort, no global number. Each worker keeps one open bin for e
 
 The bins of the classes leave room over. Texts of C/CLASSES and less, for which the method keeps a last class without
 a fixed number, are first put into that room, the largest first, each where the least room is left that fits, and
-then into bins of their own. When a worker's window ends, its unfilled bins, at most one a class, are merged best-fit.
+then into bins of their own. They are placed when a worker has read WINDOW rows; its open bins and rooms are carried
+over to the next rows. At the end its unfilled bins, at most one a class, are merged best-fit.
 
 A text longer than the capacity, and only such a text, is split: all pieces but the last fill a container each, and
 the last piece is packed like a text of its size.
@@ -25,7 +26,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,14 @@ from loamgrid.session import ship
 
 CAPACITY = 4096
 CLASSES = 6
-#: Rows a worker looks at before it closes the rooms it holds open; bounds its memory, not its rows.
+#: Rows a worker reads before it places the small texts it holds; bounds its memory, not its rows.
 WINDOW = 200_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 OUT = "container_id long, doc_id long, piece int, start_token int, n_tokens int"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
-    """Where the public vocabulary lies on this machine: TOKENIZER_DIR, the installed package, or /opt/tokenizers."""
+    """Where the public vocabulary lies on the driver: TOKENIZER_DIR, the installed package, or /opt/tokenizers."""
     spec = importlib.util.find_spec("public_tokenizers")
     for folder in (os.environ.get("TOKENIZER_DIR"), os.path.dirname(spec.origin) if spec and spec.origin else None, "/opt/tokenizers"):
         if folder and os.path.exists(path := os.path.join(folder, name)):
@@ -79,9 +80,11 @@ class Packer:
         self.rooms: list[tuple[int, int]] = []  # (room, container) of closed bins, by room
         self.held: list[tuple[int, tuple]] = []
         self.out: list[tuple] = []
+        self.last: int | None = None  # where a text without tokens may lie
 
     def put(self, container: int, item: tuple, size: int) -> None:
         self.out.append((container, *item, size))
+        self.last = container
 
     def new(self) -> int:
         self.next += 1
@@ -118,29 +121,38 @@ class Packer:
         self.keep_room(room - size, container)
         return container
 
-    def close(self) -> None:
-        """Merge the unfilled bins, fill the rooms with the small items, largest first, and pack what is left next-fit."""
-        contents: dict[int, list[int]] = {}
-        unfilled = {b[0]: (k, b) for k, b in self.open.items()}
-        if unfilled:
-            for i, row in enumerate(self.out):
-                if row[0] in unfilled:
-                    contents.setdefault(row[0], []).append(i)
-            loose = sorted((i for rows in contents.values() for i in rows), key=lambda i: -self.out[i][4])
-            spare = sorted(unfilled)
-            for i in loose:
-                c = self.best_fit(self.out[i][4])
-                if c is None:
-                    c = spare.pop(0)
-                    self.keep_room(self.capacity - self.out[i][4], c)
-                self.out[i] = (c, *self.out[i][1:])
+    def fill(self) -> None:
+        """Put the small items held into the rooms, the largest first, and what does not fit into containers of its own."""
         for size, item in sorted(self.held, key=lambda x: (-x[0], x[1])):
-            c = self.best_fit(size) if size else (self.out[-1][0] if self.out else self.new())
+            c = self.best_fit(size) if size else self.last
             if c is None:
                 c = self.new()
                 self.keep_room(self.capacity - size, c)
             self.put(c, item, size)
-        self.open, self.rooms, self.held = {}, [], []
+        self.held = []
+
+    def close(self) -> None:
+        """Merge the unfilled bins, then fill."""
+        unfilled = {b[0] for b in self.open.values()}
+        loose = sorted((i for i, row in enumerate(self.out) if row[0] in unfilled), key=lambda i: -self.out[i][4])
+        spare = sorted(unfilled)
+        for i in loose:
+            c = self.best_fit(self.out[i][4])
+            if c is None:
+                c = spare.pop(0) if spare else self.new()
+                self.keep_room(self.capacity - self.out[i][4], c)
+            self.out[i] = (c, *self.out[i][1:])
+        self.last = self.out[-1][0] if self.out else None
+        self.fill()
+        self.open, self.rooms = {}, []
+
+    def ready(self) -> list[tuple]:
+        """What was put, but for the few items of the open bins, which may still move."""
+        unfilled = {b[0] for b in self.open.values()}
+        done = [r for r in self.out if r[0] not in unfilled]
+        self.out = [r for r in self.out if r[0] in unfilled]
+        self.last = None if self.last in unfilled else self.last
+        return done
 
     def take(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -152,9 +164,12 @@ def pack(df: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: st
     if capacity < 1:
         raise ValueError("capacity must be positive")
     ship(df.sparkSession)
+    given = vocabulary or vocabulary_path()
+    df.sparkSession.sparkContext.addFile(given)  # the vocabulary goes with the job
+    name = os.path.basename(given)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path = vocabulary or vocabulary_path()
+        path = SparkFiles.get(name)
         base = TaskContext.get().partitionId() << 36
         packer, seen = Packer(capacity, max(1, min(classes, capacity))), 0
         frame = lambda rows: pd.DataFrame([(base + r[0], *r[1:]) for r in rows], columns=["container_id", "doc_id", "piece", "start_token", "n_tokens"])
@@ -166,9 +181,9 @@ def pack(df: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: st
                 packer.add((i, full, full * capacity), n - full * capacity)
             seen += len(b)
             if seen >= window:
-                packer.close()
+                packer.fill()
                 seen = 0
-                yield frame(packer.take())
+                yield frame(packer.ready())
         packer.close()
         yield frame(packer.take())
 

@@ -5,7 +5,9 @@ deleting up to MAX_DELETES letters. A typed value meets all entries within that
 looking up its own deletions. Candidates are ranked by a weighted Damerau-Levenshtein distance (letters that sound
 alike and swapped neighbours cost less), then by agreement of a city's country with the row's country, then by how
 often the entry is written exactly in the table. The dictionary goes to all workers once; rows are mapped where they
-lie, with no shuffle, and each worker remembers the values it has seen.
+lie, with no shuffle, and each worker remembers the values it has seen. A list of more than MOST_ENTRIES rows is read
+in parts: the distinct typed values meet the dictionary of each part in turn, all parts' candidates of a value are
+ranked together, and the answers are joined to the rows.
 
 What a list calls a place is learnt from the list: leading words that several entries share (Saint, New) may be
 abbreviated or moved to the end, and the words that alternative names add to an entry (Republic of) may be left out.
@@ -13,7 +15,8 @@ abbreviated or moved to the end, and the words that alternative names add to an
 Defined results: a missing value gives no row; a value without an entry in reach gives ref_id 0; a value that names
 two entries of equal rank goes to the more frequent, then to the smaller ref_id; null entries of the list are left
 out; with an empty list every value is a miss. A value longer than every
-entry by more than MAX_DELETES letters is a miss, as none can be within reach. Lists over MOST_ENTRIES rows are refused.
+entry by more than MAX_DELETES letters is a miss, as none can be within reach. What MAX_DELETES deletions on either side
+do not bring together is not looked at, whatever the length of the words.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions.missing import BLANKS, is_missing, trimmed
-from loamgrid.session import bounded_collect, broadcast_if_small, ship
+from loamgrid.session import bounded_collect, broadcast_if_small, cut, ship
 
-#: The dictionary of a longer list would not fit a worker.
+#: Entries of one dictionary; a longer list is read in parts.
 MOST_ENTRIES = 20_000
+#: Leading and form words that a list may have; they come to the driver.
+MOST_WORDS = 100_000
 MAX_DELETES = 3
 #: Accepted cost for each letter of the entry.
 REACH = 0.34
@@ -97,23 +102,40 @@ def shortened(short: str, word: str) -> bool:
     return all(ch in it for ch in short)
 
 
+def names_of(entry: tuple) -> list[str]:
+    return [n for n in (entry[1], *(entry[4] or "").split(";")) if n and n.strip()]
+
+
+def learnt(entries) -> Counter:
+    """How many entries (ref_id, ref_value, ...) begin with a word (`h`), and how often an alternative name adds one (`f`)."""
+    out: Counter = Counter()
+    for e in entries:
+        if not e[1] or not e[1].strip():
+            continue
+        first, *others = names_of(e)
+        w = words(plain(first))
+        if len(w) > 1:
+            out["h", w[0]] += 1
+        for alt in others:
+            more = set(words(plain(alt)))
+            if more & set(w):
+                out.update(("f", x) for x in more - set(w))
+    return out
+
+
+def told(counts) -> tuple[set, set]:
+    """Leading words of three entries and more, and words that two alternative names and more add."""
+    return {w for (k, w), n in counts.items() if k == "h" and n >= 3}, {w for (k, w), n in counts.items() if k == "f" and n >= 2}
+
+
 class Gazetteer:
     """The dictionary of one kind of place."""
 
-    def __init__(self, entries: list[tuple], frequency: dict[int, int]):
-        """entries: (ref_id, ref_value, place_code, country_ref_id, alt_names)."""
-        self.frequency, self.country = frequency, {}
-        named = [(e[0], [n for n in (e[1], *(e[4] or "").split(";")) if n and n.strip()]) for e in entries if e[1] and e[1].strip()]
-        heads = Counter(w[0] for _, names in named for w in [words(plain(names[0]))] if len(w) > 1)
-        self.heads = {w for w, n in heads.items() if n >= 3}
-        extra: Counter = Counter()
-        for _, names in named:
-            own = set(words(plain(names[0])))
-            for alt in names[1:]:
-                w = words(plain(alt))
-                if own & set(w):
-                    extra.update(set(w) - own)
-        self.forms = {w for w, n in extra.items() if n >= 2}
+    def __init__(self, entries: list[tuple], heads: set, forms: set):
+        """entries: (ref_id, ref_value, place_code, country_ref_id, alt_names); heads and forms of the whole list."""
+        self.country: dict = {}
+        self.heads, self.forms = heads, forms
+        named = [(e[0], names_of(e)) for e in entries if e[1] and e[1].strip()]
         self.codes: dict[str, set] = defaultdict(set)
         self.by_core: dict[str, set] = defaultdict(set)
         self.longest = 0
@@ -140,7 +162,7 @@ class Gazetteer:
                 self.starts[core[:k]].add(core)
 
     def reach(self, core: str) -> int:
-        return min(MAX_DELETES, int(len(core) * REACH), max(0, (len(core) - 2) // 2)) if len(core) < 15 else 2
+        return min(MAX_DELETES, int(len(core) * REACH), max(0, (len(core) - 2) // 2))
 
     def split(self, w: list[str], dotted: frozenset = frozenset()) -> tuple[str, str]:
         """The leading word, written out, and the rest as one string, without form words."""
@@ -218,57 +240,60 @@ class Gazetteer:
         return list(best.items())
 
 
+def hint_of(typed: str) -> str:
+    """What a typed city says of its country: the part behind its last comma, slash or bracket."""
+    m = re.search(r"[,/(]\s*([^,/()]+)\)?\s*$", typed)
+    return m[1].strip() if m else ""
+
+
+def choice(candidates: list[tuple], country: int) -> int:
+    """The best of candidates (cost, ref, country, frequency): a city outside a known country costs more; 0 without any."""
+    cost = lambda x: x[0] + (OTHER_COUNTRY if country and x[2] != country else 0)
+    return min(candidates, key=lambda x: (round(cost(x), 6), -x[3], x[1]))[1] if candidates else 0
+
+
 class Mapper:
     """Maps (city, country) as typed to (city ref, country ref); 0 for a miss, None for a missing value."""
 
-    def __init__(self, entries: list[tuple], frequency: dict[int, int]):
+    def __init__(self, entries: list[tuple], frequency: dict[int, int], words_of: dict | None = None):
         self.frequency = frequency
-        self.cities = Gazetteer([e[1:] for e in entries if e[0] == "city"], frequency)
-        self.countries = Gazetteer([e[1:] for e in entries if e[0] == "country"], frequency)
-        self.seen_city: dict = {}
-        self.seen_typed: dict = {}
-        self.seen_country: dict = {}
+        of = {k: [e[1:] for e in entries if e[0] == k] for k in ("city", "country")}
+        told_of = words_of or {k: told(learnt(v)) for k, v in of.items()}
+        self.lists = {k: Gazetteer(v, *told_of[k]) for k, v in of.items()}
+        self.seen: dict = {}
+
+    def _kept(self, key: tuple, make):
+        if (hit := self.seen.get(key)) is None:
+            if len(self.seen) >= MEMO:
+                self.seen.clear()
+            hit = self.seen[key] = make()
+        return hit
 
-    def order(self, ref: int) -> tuple:
-        return (-self.frequency.get(ref, 0), ref)
+    def candidates(self, kind: str, typed: str) -> list[tuple]:
+        """(cost, ref, country, frequency) of each entry in reach."""
+        g = self.lists[kind]
+        return self._kept((kind, typed), lambda: [(c, r, g.country.get(r), self.frequency.get(r, 0)) for c, r in g.find(typed)])
 
     def country(self, typed: str) -> int:
-        if (hit := self.seen_country.get(typed)) is None:
-            found = self.countries.find(typed)
-            hit = min(found, key=lambda x: (x[0], self.order(x[1])))[1] if found else 0
-            if len(self.seen_country) >= MEMO:
-                self.seen_country.clear()
-            self.seen_country[typed] = hit
-        return hit
+        return choice(self.candidates("country", typed), 0)
 
     def city(self, typed: str, country: int) -> int:
-        if (hit := self.seen_city.get((typed, country))) is None:
-            hint = country
-            if not hint and (m := re.search(r"[,/(]\s*([^,/()]+)\)?\s*$", typed)):
-                hint = self.country(m[1].strip())
-            if (found := self.seen_typed.get(typed)) is None:
-                if len(self.seen_typed) >= MEMO:
-                    self.seen_typed.clear()
-                found = self.seen_typed[typed] = self.cities.find(typed)
-            cost = lambda x: x[0] + (OTHER_COUNTRY if hint and self.cities.country.get(x[1]) != hint else 0)
-            hit = min(found, key=lambda x: (round(cost(x), 6), self.order(x[1])))[1] if found else 0
-            if len(self.seen_city) >= MEMO:
-                self.seen_city.clear()
-            self.seen_city[(typed, country)] = hit
-        return hit
+        hint = lambda: country or (self.country(h) if (h := hint_of(typed)) else 0)
+        return self._kept(("of", typed, country), lambda: choice(self.candidates("city", typed), hint()))
 
 
-def mapped(df: DataFrame, places: DataFrame, row_id: str = "row_id", city: str = "city", country: str = "country") -> DataFrame:
+def mapped(df: DataFrame, places: DataFrame, row_id: str = "row_id", city: str = "city", country: str = "country", most_entries: int = MOST_ENTRIES) -> DataFrame:
     """(row_id, city, country, city_ref, country_ref): refs are null for missing values and 0 for misses."""
     spark = df.sparkSession
     ship(spark)
-    cols = ("place_kind", "ref_id", "ref_value", "place_code", "country_ref_id", "alt_names")
-    rows = bounded_collect(places.select(*cols).where("ref_id is not null and ref_value is not null"), MOST_ENTRIES, "the reference list")
-    entries = [tuple(None if pd.isna(v) else v for v in r) for r in rows]
-    names = places.where("ref_value is not null").select(F.lower(F.trim("ref_value")).alias("_name"), "place_kind", F.col("ref_id"))
-    typed = df.select(F.explode(F.array(F.struct(F.lit("city").alias("place_kind"), F.lower(trimmed(F.col(city))).alias("_name")), F.struct(F.lit("country").alias("place_kind"), F.lower(trimmed(F.col(country))).alias("_name")))).alias("_v")).select("_v.*")
-    counts = typed.join(broadcast_if_small(names, MOST_ENTRIES), ["place_kind", "_name"]).groupBy("ref_id").count().collect()  # at most one row per entry
-    shared = spark.sparkContext.broadcast((entries, {r["ref_id"]: r["count"] for r in counts}))
+    listed = places.select("place_kind", "ref_id", "ref_value", "place_code", "country_ref_id", "alt_names").where("ref_id is not null and ref_value is not null")
+    given = lambda c: F.when(~is_missing(F.col(c)), F.col(c))
+    rows = df.select(F.col(row_id).alias("row_id"), given(city).alias("city"), given(country).alias("country"))
+    n = listed.count()
+    if n > most_entries:
+        return _mapped_in_parts(rows, listed, -(-n // most_entries))
+    counts = _frequencies(rows, listed).collect()  # at most one row per entry
+    shared = spark.sparkContext.broadcast((_entries(listed, most_entries), {r["ref_id"]: r["n"] for r in counts}))
 
     @F.pandas_udf("struct<city_ref: long, country_ref: long>")
     def to_refs(c: pd.Series, k: pd.Series) -> pd.DataFrame:
@@ -280,8 +305,68 @@ def mapped(df: DataFrame, places: DataFrame, row_id: str = "row_id", city: str =
             out_c.append(None if a is None else mapper.city(a.strip(BLANKS), kr or 0))
         return pd.DataFrame({"city_ref": pd.array(out_c, "Int64"), "country_ref": pd.array(out_k, "Int64")})
 
-    given = lambda c: F.when(~is_missing(F.col(c)), F.col(c))
-    return df.select(F.col(row_id).alias("row_id"), given(city).alias("city"), given(country).alias("country")).withColumn("_r", to_refs("city", "country")).select("row_id", "city", "country", "_r.*")
+    return rows.withColumn("_r", to_refs("city", "country")).select("row_id", "city", "country", "_r.*")
+
+
+def _entries(listed: DataFrame, most: int) -> list[tuple]:
+    return [tuple(None if pd.isna(v) else v for v in r) for r in bounded_collect(listed, most, "the reference list")]
+
+
+def _frequencies(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(ref_id, n): how often each entry is written exactly."""
+    names = listed.select(F.lower(F.trim("ref_value")).alias("_name"), "place_kind", "ref_id")
+    typed = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("place_kind"), F.lower(trimmed(F.col(k))).alias("_name")) for k in ("city", "country")))).alias("_v")).select("_v.*").where("_name is not null")
+    return typed.join(broadcast_if_small(names, MOST_ENTRIES), ["place_kind", "_name"]).groupBy("ref_id").agg(F.count("*").alias("n"))
+
+
+def _mapped_in_parts(rows: DataFrame, listed: DataFrame, parts: int) -> DataFrame:
+    """mapped() for a long list: the candidates of the distinct values from every part, then the best for each row."""
+    spark = rows.sparkSession
+    listed = cut(listed.join(_frequencies(rows, listed), "ref_id", "left").select("place_kind", "ref_id", "ref_value", "place_code", "country_ref_id", "alt_names", F.coalesce("n", F.lit(0)).alias("n"), F.pmod(F.xxhash64("ref_id"), F.lit(2 * parts)).alias("_p")))
+
+    def count(batches):
+        for b in batches:
+            got = {k: learnt(b[b["place_kind"] == k][["ref_id", "ref_value", "place_code", "country_ref_id", "alt_names"]].itertuples(index=False)) for k in ("city", "country")}
+            yield pd.DataFrame([(k, what, w, c) for k, counts in got.items() for (what, w), c in counts.items()], columns=["k", "what", "w", "c"])
+
+    told_words = listed.mapInPandas(count, "k string, what string, w string, c long").groupBy("k", "what", "w").agg(F.sum("c").alias("c")).where("c >= 2")
+    counts: dict = {"city": Counter(), "country": Counter()}
+    for r in bounded_collect(told_words, MOST_WORDS, "the list's leading and form words"):
+        counts[r["k"]][r["what"], r["w"]] = r["c"]
+    of = {k: told(c) for k, c in counts.items()}
+    strip = lambda c: F.btrim(c, F.lit(BLANKS))
+
+    @F.pandas_udf("string")
+    def hint(typed: pd.Series) -> pd.Series:
+        return typed.map(lambda v: hint_of(v) if v else None)
+
+    pairs = cut(rows.groupBy(strip(F.col("city")).alias("city"), strip(F.col("country")).alias("country")).agg(F.count("*").alias("_n")).withColumn("hint", F.when(F.col("city").isNotNull(), F.nullif(hint("city"), F.lit("")))))
+    kinds = (("city", "city"), ("country", "country"), ("country", "hint"))
+    values = cut(pairs.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds))).alias("_v")).select("_v.*").where("value is not null").distinct())
+    met = None
+    for p in range(2 * parts):
+        part = _entries(listed.where(F.col("_p") == p).drop("_p"), MOST_ENTRIES)
+        shared = spark.sparkContext.broadcast(([e[:-1] for e in part], {e[1]: e[-1] for e in part}, of))
+
+        def find(batches, shared=shared):
+            mapper = _mapper(shared)
+            for b in batches:
+                out = [(k, v, *c) for k, v in zip(b["kind"], b["value"]) for c in mapper.candidates(k, v)]
+                yield pd.DataFrame(out, columns=["kind", "value", "cost", "ref", "country", "n"]).astype({"country": "Int64"})
+
+        one = values.mapInPandas(find, "kind string, value string, cost double, ref long, country long, n long")
+        met = one if met is None else met.unionByName(one)
+    # A value's candidates are few: entries within reach. Only the best can win for a country, so a maximum decides.
+    met = cut(met)
+    best = lambda extra: F.min(F.struct(F.round(F.col("cost") + extra, 6).alias("c"), (-F.col("n")).alias("n"), F.col("ref").alias("ref"))).alias("_b")
+    countries = cut(met.where("kind = 'country'").groupBy("value").agg(best(F.lit(0.0))).select("value", F.col("_b.ref").alias("_c")))
+    known = pairs.join(countries.select(F.col("value").alias("country"), F.col("_c").alias("country_ref")), "country", "left").join(countries.select(F.col("value").alias("hint"), F.col("_c").alias("_hinted")), "hint", "left").withColumn("_of", F.coalesce("country_ref", "_hinted", F.lit(0)))
+    cities = met.where("kind = 'city'").select(F.col("value").alias("city"), "cost", "ref", F.col("country").alias("_in"), "n")
+    asked = known.select("city", "_of").where("city is not null").distinct().join(cities, "city")
+    won = asked.groupBy("city", "_of").agg(best(F.when((F.col("_of") != 0) & ~F.col("_in").eqNullSafe(F.col("_of")), OTHER_COUNTRY).otherwise(0.0))).select("city", "_of", F.col("_b.ref").alias("city_ref"))
+    final = known.join(won, ["city", "_of"], "left").select(F.col("city").alias("_ct"), F.col("country").alias("_cy"), "city_ref", "country_ref")
+    joined = rows.join(final, F.col("_ct").eqNullSafe(strip(F.col("city"))) & F.col("_cy").eqNullSafe(strip(F.col("country"))), "left")
+    return joined.select("row_id", "city", "country", *(F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_ref", F.lit(0))).alias(f"{c}_ref") for c in ("city", "country")))
 
 
 _READY: dict = {}

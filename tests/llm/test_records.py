@@ -124,9 +124,16 @@ def test_places(spark):
     assert places.found(m).count() == sum((a is not None) + (b is not None) for _, _, a, b in cases)
     assert {r["value"] for r in places.misses(m).collect()} == {"head office", "overseas", "???", "Q" * 100_000}
     assert places.mapped(df.limit(0), ref).count() == 0
+    parts = places.mapped(df, ref, most_entries=4)  # the list in parts gives the same
+    assert {r["row_id"]: (r["city_ref"], r["country_ref"]) for r in parts.collect()} == got
     assert {r["city_ref"] for r in places.mapped(df, ref.limit(0)).collect()} == {0, None}
 
 
+def test_long_words_may_lack_as_many_letters_as_short_ones():
+    g = places.Gazetteer([(1, "Krasnovodarskiyeopolis", None, None, None), (2, "Kelbuzmar", None, None, None)], set(), set())
+    assert g.find("Krsnvdarskiyeopolis")[0][1] == 1 and g.find("Klbzmar")[0][1] == 2
+
+
 def test_symmetric_deletes_reach_every_close_string():
     rnd = random.Random(3)
     word = "kelbuzmar"

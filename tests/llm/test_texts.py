@@ -38,6 +38,21 @@ def test_packing_round_trip(spark):
     assert packing.report(packing.pack(docs(spark, texts).limit(0))).collect()[0]["n_containers"] == 0
 
 
+def test_windows_hardly_change_the_packing(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(["alpha"] * int(min(300, rnd.lognormvariate(3.5, 1)))) for _ in range(600)] + [""] * 5
+    used = []
+    for window in (10**9, 40):
+        got = packing.pack(docs(spark, texts, 1), capacity=256, window=window).collect()
+        assert len({(r["doc_id"], r["piece"]) for r in got}) == len(got) and {r["doc_id"] for r in got} == set(range(605))
+        room = defaultdict(int)
+        for r in got:
+            room[r["container_id"]] += r["n_tokens"]
+        assert max(room.values()) <= 256
+        used.append(len(room))
+    assert used[1] <= used[0] + 2
+
+
 def test_packing_wastes_little():
     rnd = random.Random(4)
     p = packing.Packer(4096)
