@@ -148,6 +148,23 @@ def duplicate_rows(spark, d):
     return report.unique_rows(exact.multi_single(df, ["email", "phone"], F.col("rn")), df.count())
 
 
+_STRIP = r"lower(regexp_replace({c}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'))"
+
+
+def _token_set(pairs: str) -> str:
+    """(x, y, sc) of pairs (x, y): the token set score, by bit vectors of the longest common subsequence of what differs."""
+    tokens = r"list_distinct(list_filter(regexp_split_to_array({v}, '[\s\pZ]+'), lambda t: t <> ''))"
+    joined = "array_to_string(list_sort({l}), ' ')"
+    mask = "list_sum(list_transform(range(1, length(p) + 1), lambda i: case when p[i] = ch then 1::hugeint << (i - 1)::hugeint else 0::hugeint end))"
+    full = "((1::hugeint << length(p)::hugeint) - 1)"
+    bits = f"list_reduce(list_transform(string_split(q, ''), lambda ch: {mask}::hugeint), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full}, {full})"
+    return f"""select x, y, case when x = y or n > 0 and (p = '' or q = '') then 100.0::double when p = '' or q = '' then case when n = 0 then 0.0 end
+      else greatest(200.0 * (k + lcs) / (2 * k + length(p) + length(q)), case when n > 0 then greatest(200.0 * n / (2 * n + 1 + length(p)), 200.0 * n / (2 * n + 1 + length(q))) else 0.0 end)::double end sc
+    from (select *, case when n > 0 then n + 1 else 0 end k, case when p <> '' and q <> '' then length(p) - bit_count({bits}) else 0 end lcs
+      from (select x, y, length({joined.format(l='list_intersect(a, b)')}) n, {joined.format(l='list_filter(a, lambda t: not list_contains(b, t))')} p, {joined.format(l='list_filter(b, lambda t: not list_contains(a, t))')} q
+        from (select x, y, {tokens.format(v='x')} a, {tokens.format(v='y')} b from ({pairs}))))"""
+
+
 _NULLISH = "coalesce(lower(trim({c})) in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a'), true)"
 
 
@@ -180,6 +197,19 @@ SQL = {
     "normalize_text": f"with dv as ({DV}) select rn, {_NORM.format(c='name')} name, {_NORM.format(c='email')} email, nullif(trim(regexp_replace(regexp_replace(lower(trim(phone)), '[^\\w\\s@.+\\-]', ' ', 'g'), '\\s+', ' ', 'g')), '') phone from dv",
     "missing_exceptions": f"with dv as ({DV}) {_MISSING}",
     "missing_summary": f"with dv as ({DV}), x as ({_MISSING}) select _missing_field field, count(*) missing_rows from x group by 1",
+    "fuzzy_basic": f"""with recursive v as (select row_id, vendorname, city, {_STRIP.format(c='vendorname')} k, left({_STRIP.format(c='vendorname')}, 1) || '|' || left(coalesce({_STRIP.format(c='city')}, ''), 3) b from vendor_master where {_STRIP.format(c='vendorname')} not in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a')),
+  n as (select b, k, min(row_id) node, count(*) m from v group by 1, 2),
+  d as (select distinct l.k x, r.k y from n l join n r on l.b = r.b and l.node < r.node), t as ({_token_set('select x, y from d')}),
+  e as (select l.node src, r.node dst, round_even(sc, 0) s from n l join n r on l.b = r.b and l.node < r.node join t on t.x = l.k and t.y = r.k where round_even(sc, 0) >= 95 union all select node, node, 100.0 from n where m > 1),
+  g(node, seen) as (select src, src from e union select dst, dst from e union select case when e.src = g.node then e.dst else e.src end, g.seen from g join e on e.src = g.node or e.dst = g.node),
+  c as (select node, min(seen) c from g group by 1), z as (select c, max(s) s from e join c on c.node = e.src group by 1),
+  w as (select v.*, c.c, z.s, count(*) over (partition by c.c) size, min(v.row_id) over (partition by c.c) f from v join n using (b, k) join c on c.node = n.node join z on z.c = c.c)
+  select 'Fuzzy name 95' _rule, 'FUZZY' _match_type, 'vendorname' _match_cols, dense_rank() over (order by f) _group_id, size _group_size, s::bigint _score, row_id, vendorname, city from w""",
+    "fuzzy_values": f"""with recursive v as (select k, row_number() over (order by k) i from (select distinct {_STRIP.format(c='p_name')} k from part) where k <> ''),
+  t as ({_token_set('select l.k x, r.k y from v l join v r on l.i < r.i')}), s as (select l.i i, r.i j from t join v l on l.k = x join v r on r.k = y where sc >= 75 and sc < 100),
+  r(i, leaders, lead) as (select 0::bigint, []::bigint[], null::bigint union all
+    select q.i + 1, case when q.l is null then list_append(q.leaders, q.i + 1) else q.leaders end, q.l from (select r.i, r.leaders, (select min(s.i) from s where s.j = r.i + 1 and list_contains(r.leaders, s.i)) l from r where r.i < (select max(i) from v)) q)
+  select a.k leader, b.k "value" from (select lead, i from r where lead is not null union select lead, lead from r where lead is not null) m join v a on a.i = m.lead join v b on b.i = m.i""",
     "fuzzy_skipped": "select *, n_rows * (n_rows - 1) // 2 n_pairs from (select substring(lower(trim(p_name)), 1, 2) _block, count(*) n_rows from part where p_name is not null group by 1) where n_rows * (n_rows - 1) // 2 > 20000",
     "components": """with recursive e as (select distinct o_custkey src, -1 - o_custkey // 5 dst from orders where o_custkey is not null and o_orderkey is not null),
  b as (select src, dst from e union select dst, src from e), r(node, seen) as (select src, src from b union select b.dst, r.seen from r join b on b.src = r.node)
