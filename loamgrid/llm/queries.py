@@ -100,5 +100,6 @@ SQL = {
     "p2_golden": _BEST + "select d._rule, d._group_id, d.n n_members, d.m first_row_id, " + ", ".join(f"max(case when b.column_name = '{a}' then b.v end) {a}" for a in survivors.ATTRIBUTES)
     + " from (select _rule, _group_id, count(*) n, min(row_id) m from duplicate_records group by all) d left join b on b.n = 1 and b._rule is not distinct from d._rule and b._group_id is not distinct from d._group_id group by d._rule, d._group_id, d.n, d.m",
     "p4_found": _FEED + "select m keep_rec_id, rec_id from g where rec_id > m",
+    "p4_collisions": _FEED + "select md5(c) digest, count(*) n_records, sum(n)::bigint n_copies from (select array_to_string(list_sort(k), '|') c, count(*) n from f group by 1) group by 1 having count(*) > 1",
     "p4_collapsed": _FEED + "select distinct m keep_rec_id, n n_copies from g",
 }
