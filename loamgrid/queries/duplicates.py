@@ -151,18 +151,39 @@ def duplicate_rows(spark, d):
 _STRIP = r"lower(regexp_replace({c}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'))"
 
 
+def _lcs(p: str, q: str) -> str:
+    """The length of the longest common subsequence of two SQL texts, by bit vectors; up to 120 letters."""
+    mask = f"list_sum(list_transform(range(1, length({p}) + 1), lambda zi: case when ({p})[zi] = zc then 1::hugeint << (zi - 1)::hugeint else 0::hugeint end))"
+    full = f"((1::hugeint << length({p})::hugeint) - 1)"
+    bits = f"list_reduce(list_transform(string_split({q}, ''), lambda zc: {mask}::hugeint), lambda zs, zm: ((zs + (zs & zm)) | (zs - (zs & zm))) & {full}, {full})"
+    return f"(case when {p} = '' or {q} = '' then 0 else length({p}) - bit_count({bits}) end)"
+
+
+def _ratio(p: str, q: str) -> str:
+    return f"(case when {p} = {q} then 100.0::double else 200.0::double * {_lcs(p, q)} / (length({p}) + length({q})) end)"
+
+
+_SPLIT = r"list_filter(regexp_split_to_array({v}, '[\s\pZ]+'), lambda t: t <> '')"
+_JOINED = "array_to_string(list_sort({l}), ' ')"
+
+
 def _token_set(pairs: str) -> str:
-    """(x, y, sc) of pairs (x, y): the token set score, by bit vectors of the longest common subsequence of what differs."""
-    tokens = r"list_distinct(list_filter(regexp_split_to_array({v}, '[\s\pZ]+'), lambda t: t <> ''))"
-    joined = "array_to_string(list_sort({l}), ' ')"
-    mask = "list_sum(list_transform(range(1, length(p) + 1), lambda i: case when p[i] = ch then 1::hugeint << (i - 1)::hugeint else 0::hugeint end))"
-    full = "((1::hugeint << length(p)::hugeint) - 1)"
-    bits = f"list_reduce(list_transform(string_split(q, ''), lambda ch: {mask}::hugeint), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full}, {full})"
+    """(x, y, sc) of pairs (x, y): the token set score; what both begin with need not be compared."""
+    tokens = lambda v: f"list_distinct({_SPLIT.format(v=v)})"
     return f"""select x, y, case when x = y or n > 0 and (p = '' or q = '') then 100.0::double when p = '' or q = '' then case when n = 0 then 0.0 end
       else greatest(200.0 * (k + lcs) / (2 * k + length(p) + length(q)), case when n > 0 then greatest(200.0 * n / (2 * n + 1 + length(p)), 200.0 * n / (2 * n + 1 + length(q))) else 0.0 end)::double end sc
-    from (select *, case when n > 0 then n + 1 else 0 end k, case when p <> '' and q <> '' then length(p) - bit_count({bits}) else 0 end lcs
-      from (select x, y, length({joined.format(l='list_intersect(a, b)')}) n, {joined.format(l='list_filter(a, lambda t: not list_contains(b, t))')} p, {joined.format(l='list_filter(b, lambda t: not list_contains(a, t))')} q
-        from (select x, y, {tokens.format(v='x')} a, {tokens.format(v='y')} b from ({pairs}))))"""
+    from (select *, case when n > 0 then n + 1 else 0 end k, {_lcs('p', 'q')} lcs
+      from (select x, y, length({_JOINED.format(l='list_intersect(a, b)')}) n, {_JOINED.format(l='list_filter(a, lambda t: not list_contains(b, t))')} p, {_JOINED.format(l='list_filter(b, lambda t: not list_contains(a, t))')} q
+        from (select x, y, {tokens('x')} a, {tokens('y')} b from ({pairs}))))"""
+
+
+def _hybrid(pairs: str) -> str:
+    """(x, y, h) of pairs (x, y): the blend of the four scorers where it can reach 60, else null. Windows stick out at both ends."""
+    window = lambda l, m: f"list_max(list_transform(range(1 - length({m}), length({l})), lambda w: {_ratio('u', f'({l})[greatest(w, 0) + 1 : w + length({m})]')}))"
+    return f"""select x, y, case when x = y then 100.0::double when x = '' or y = '' then 0.0 else z + 0.20 * greatest(a, coalesce(b, 0.0)) end h from (
+      select *, {window('v', 'u')} a, case when length(u) = length(v) then list_max(list_transform(range(1 - length(v), length(v)), lambda w: {_ratio('v', '(u)[greatest(w, 0) + 1 : w + length(v)]')})) end b from (
+        select x, y, case when length(x) <= length(y) then x else y end u, case when length(x) <= length(y) then y else x end v, 0.35 * sc + 0.30 * {_ratio('i', 'j')} + 0.15 * {_ratio('x', 'y')} z
+        from (select x, y, sc, {_JOINED.format(l=_SPLIT.format(v='x'))} i, {_JOINED.format(l=_SPLIT.format(v='y'))} j from ({_token_set(pairs)}))) where z >= 40 or x = y or x = '' or y = '')"""
 
 
 _NULLISH = "coalesce(lower(trim({c})) in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a'), true)"
@@ -185,6 +206,16 @@ def _basic(src: str, cols: str, key: str, name: str, match: str) -> str:
 
 _MISSING = " union all ".join(f"select '{c}' _missing_field, 'Missing value' _issue, rn - 1 _row_id, cust_id, email, phone, balance, since from dv where nullif(trim({c}), '') is null" for c in ("email", "phone", "balance", "since"))
 _UNIQUE = f"with dv as ({DV}), u as (" + " union all ".join(f"select r Row_Number, '{c}' _Source_Column, g Duplicate_Group_ID, 'Exact' Duplicate_Type, {c} v, 0 o from ({_single('dv', f'lower(trim({c}))', 'rn', 'not ' + _NULLISH.format(c=c))})" for c in ("email", "phone")) + f" union all select r, null, g, 'Combination', pan || ' | ' || segment, 1 from ({_single('dv', 'struct_pack(a := lower(trim(pan)), b := lower(trim(segment)))', 'rn', 'true')})) "
+_GIVEN = "{c} not in ('','nan','none','null','na','n/a','n.a.','nil','missing','#n/a')"
+_FUZZY = f"""with recursive v as (select *, left(k, 2) || '|' || left(coalesce(ct, ''), 3) b from (select row_id, {_STRIP.format(c='vendorname')} k, {_STRIP.format(c='city')} c, {_STRIP.format(c='country')} ct from vendor_master) where {_GIVEN.format(c='k')} and {_GIVEN.format(c='c')}),
+  n as (select b, k, c, min(row_id) node, count(*) m from v group by 1, 2, 3),
+  d as (select l.k lk, r.k rk, l.c lc, r.c rc, l.node src, r.node dst from n l join n r on l.b = r.b and l.node < r.node),
+  hk as materialized ({_hybrid('select distinct lk x, rk y from d')}), d2 as (select d.*, h from d join hk on x = lk and y = rk where 3 * h + 100 >= 360 - 1e-9),
+  hc as materialized ({_hybrid('select distinct lc x, rc y from d2')}),
+  e as (select src, dst, (3 * d2.h + hc.h) / 4 s from d2 join hc on x = lc and y = rc where (3 * d2.h + hc.h) / 4 >= 90 union all select node, node, 100.0 from n where m > 1),
+  g(node, seen) as (select src, src from e union select dst, dst from e union select case when e.src = g.node then e.dst else e.src end, g.seen from g join e on e.src = g.node or e.dst = g.node),
+  cc as (select node, min(seen) cc from g group by 1), z as (select cc, round_even(max(s), 2) s from e join cc on cc.node = e.src group by 1),
+  fz as (select v.row_id, z.s, dense_rank() over (order by f) g from (select v.row_id, cc.cc, min(v.row_id) over (partition by cc.cc) f from v join n using (b, k, c) join cc on cc.node = n.node) v join z using (cc))"""
 SQL = {
     "dup_single": f"select {_PC.format(t=chr(39) + 'Exact' + chr(39))} from ({_single(_P, 'lower(trim(p_name))', 'p_partkey + 2', 'p_name is not null')})",
     "dup_multi_single": f"with dv as ({DV}) " + " union all ".join(f"select r Row_Number, '{c}' _Source_Column, g Duplicate_Group_ID, 'Exact' Duplicate_Type, 100.0::double Similarity_Score from ({_single('dv', f'lower(trim({c}))', 'rn', 'not ' + _NULLISH.format(c=c))})" for c in ("email", "phone", "pan")),
@@ -210,6 +241,8 @@ SQL = {
   r(i, leaders, lead) as (select 0::bigint, []::bigint[], null::bigint union all
     select q.i + 1, case when q.l is null then list_append(q.leaders, q.i + 1) else q.leaders end, q.l from (select r.i, r.leaders, (select min(s.i) from s where s.j = r.i + 1 and list_contains(r.leaders, s.i)) l from r where r.i < (select max(i) from v)) q)
   select a.k leader, b.k "value" from (select lead, i from r where lead is not null union select lead, lead from r where lead is not null) m join v a on a.i = m.lead join v b on b.i = m.i""",
+    "fuzzy_core": f"{_FUZZY} select d.*, 'Hybrid Fuzzy' Duplicate_Type, g Duplicate_Group_ID, s Similarity_Score from fz join (select row_id, vendorname, city, country, row_id + 2 Row_Number from vendor_master) d using (row_id)",
+    "uniqueness_fuzzy": f"{_FUZZY}, x as (select *, count(*) over (partition by k) n, min(row_id) over (partition by k) f from (select row_id, {_STRIP.format(c='vendorname')} k from vendor_master) where {_GIVEN.format(c='k')}), o as (select row_id, 'Exact' t, dense_rank() over (order by f) g from x where n > 1) select row_id + 2 Row_Number, t Duplicate_Type, g Duplicate_Group_ID from o union all select row_id + 2, 'Hybrid Fuzzy', g from fz where row_id not in (select row_id from o)",
     "fuzzy_skipped": "select *, n_rows * (n_rows - 1) // 2 n_pairs from (select substring(lower(trim(p_name)), 1, 2) _block, count(*) n_rows from part where p_name is not null group by 1) where n_rows * (n_rows - 1) // 2 > 20000",
     "components": """with recursive e as (select distinct o_custkey src, -1 - o_custkey // 5 dst from orders where o_custkey is not null and o_orderkey is not null),
  b as (select src, dst from e union select dst, src from e), r(node, seen) as (select src, src from b union select b.dst, r.seen from r join b on b.src = r.node)
