@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.functions.missing import is_missing
-from loamgrid.session import bounded_collect, ship
+from loamgrid.session import bounded_collect, broadcast_if_small, cut, ship
 
 #: Runs of a shape, and groups of words of a longer one (3 + 2 lengths each).
 MOST_RUNS, MOST_GROUPS = 12, 4
@@ -42,6 +42,8 @@ MOST_RUNS, MOST_GROUPS = 12, 4
 MOST_LITERAL = 24
 #: Rules and profiled columns come to the driver; there are as many as a person wrote.
 MOST_RULES = 10_000
+#: Totals of loads and columns that are broadcast at most; more are joined by a shuffle.
+MOST_TOTALS = 100_000
 NUMBER = r"-?[0-9]+(\.[0-9]+)?"
 SHARE = {"missing": 0.15, "distinct": 0.25, "pattern": 0.15, "range": 0.15, "mix": 0.25}
 #: A change of the share of rows that one expression covers, beyond which it is a finding of its own.
@@ -112,8 +114,8 @@ def mix_changes(counts: DataFrame, watch: Watch) -> DataFrame:
     the one before has shares of one sign only, and is left out.
     """
     mixed = counts.where(F.col("column_name").isin(*watch.mix)) if watch.mix else counts.where("false")
-    total = mixed.groupBy("table_name", "load_id", "column_name").agg(F.sum("n").alias("_total"))  # loads x columns
-    shares = mixed.join(F.broadcast(total), ["table_name", "load_id", "column_name"]).select("table_name", "column_name", "value", "load_id", (F.col("n") / F.col("_total")).alias("share"))
+    total = cut(mixed.groupBy("table_name", "load_id", "column_name").agg(F.sum("n").alias("_total")))  # loads x columns
+    shares = mixed.join(broadcast_if_small(total, MOST_TOTALS), ["table_name", "load_id", "column_name"]).select("table_name", "column_name", "value", "load_id", (F.col("n") / F.col("_total")).alias("share"))
     side = lambda load, share, now: F.struct(load.alias("load_id"), share.alias("share"), F.lit(now).alias("now"))
     both = shares.select("table_name", "column_name", "value", F.explode(F.array(side(F.col("load_id"), F.col("share"), 1), side(F.col("load_id") + 1, -F.col("share"), 0))).alias("_s"))
     per_value = both.groupBy("table_name", "column_name", "value", "_s.load_id").agg(F.sum("_s.share").alias("d"), F.max("_s.now").alias("now"), F.min("_s.now").alias("was"))
@@ -135,7 +137,7 @@ def changes(counts: DataFrame, watch: Watch, covered: DataFrame | None = None) -
     measures = ("missing", "distinct", "pattern", "range")
     p = profile(counts, watch if covered is None else replace(watch, patterns={}))
     if covered is not None:
-        p = p.drop("pattern").join(F.broadcast(conformity(covered)), ["table_name", "load_id", "column_name"], "left")  # loads x columns
+        p = p.drop("pattern").join(conformity(covered), ["table_name", "load_id", "column_name"], "left")  # both loads x columns
     p = p.select("table_name", "load_id", "column_name", F.struct(*(F.col(f"`{m}`").alias(m) for m in measures)).alias("_m"))
     null = F.lit(None).cast(p.schema["_m"].dataType)
     sides = F.explode(F.array(F.struct("load_id", F.col("_m").alias("now"), null.alias("was")), F.struct((F.col("load_id") + 1).alias("load_id"), null.alias("now"), F.col("_m").alias("was"))))
