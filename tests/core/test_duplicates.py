@@ -1,14 +1,16 @@
 """Duplicates, components, survivorship and scorers."""
 
+import itertools
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loamgrid.functions import scorers
-from loamgrid.operators import components, exact, fuzzy, ids, ratings, report, studio, uniqueness
+from loamgrid.operators import components, exact, fuzzy, ids, near, ratings, report, studio, uniqueness
 
 
 def frame(spark, values, schema="i int, v string"):
@@ -232,3 +234,69 @@ def test_weighted_mean(spark):
     assert [tuple(r)[2:] for r in ratings.from_template(raw, ["o", "absent"]).collect()] == [(1.0, "Adhoc"), (2.0, "Managed")] and ratings.absent(raw, ["o", "absent"]) == ["absent"]
     assert [spark.range(1).select(ratings.whole_level(F.lit(x)), ratings.as_score(F.lit(str(x)))).first()[:] for x in (0.2, 4.6, 9.0)] == [(1, 0.2), (5, 4.6), (5, 5.0)]
     assert set(ratings.report_set(long.withColumn("o", F.col("rating")).drop("rating", "object"), ["o"])) == {"Dimension Scores", "Overall", "Details", "Exceptions"}
+
+
+def names(n, seed=1):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randrange(1, 5)))
+    out = []
+    for _ in range(n):
+        v = " ".join(["a" + word(), *(word() for _ in range(rnd.randrange(4))), *rnd.choices(["ltd", "co", "", "and sons"], k=1)]).strip()
+        if out and rnd.random() < 0.5:  # a neighbour: a letter changed, a word dropped, doubled or added, the words turned
+            v = rnd.choice(out)
+            k, w = rnd.randrange(1, len(v) + 1), v.split()
+            v = rnd.choice([v[:k] + rnd.choice("xé ") + v[k:], v[: k - 1] + v[k:], " ".join(w[:-1]) or v, " ".join([*w, w[0]]), " ".join([*w, "q"]), " ".join(w[::-1]), v + "\u2003z"])
+        out.append(v)
+    return [v for v in dict.fromkeys(out) if v]
+
+
+def frame_of(blocks):
+    rows = sorted((v[:1], i, v, w) for i, (v, w) in enumerate(blocks))
+    frame = pd.DataFrame(rows, columns=["_block", "_node", "v0", "v1"])
+    return frame.assign(_i=0, _j=0, _t=0)
+
+
+def brute_pairs(frame, used, threshold, scorer, rounded):
+    f, out = scorers.SCORERS[scorer], {}
+    for _, g in frame.groupby("_block"):
+        for x, y in itertools.combinations(g.to_dict("records"), 2):
+            s = sum(w * (100.0 if x[c] == y[c] else f(x[c], y[c])) for c, w in used) / sum(w for _, w in used)
+            s = float(round(s)) if rounded else s
+            if s >= threshold:
+                out[frozenset((x["_node"], y["_node"]))] = s
+    return out
+
+
+@pytest.mark.parametrize("scorer", ["token_set", "hybrid", "ratio"])
+@pytest.mark.parametrize("threshold, rounded, two", [(95, True, False), (88, False, False), (100, False, False), (55, False, False), (90, False, True), (70, True, True)])
+def test_near_pairs_equal_brute_force(scorer, threshold, rounded, two):
+    values, rnd = names(130, threshold), random.Random(4)
+    frame, used = frame_of([(v, rnd.choice(["", "port", "porto", "x y", "lodz"])) for v in values]), [("v0", 3.0), ("v1", 1.0)][: 1 + two]
+    got = {}
+    for found in near.compare(frame, used, threshold, scorer, rounded):
+        got |= {frozenset((a, b)): s for a, b, s in zip(found["src"], found["dst"], found["score"])}
+    expected = brute_pairs(frame, used, threshold, scorer, rounded)
+    assert set(got) == set(expected)
+    assert all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def scored(monkeypatch, frame, *options):
+    counts, score = [], near._scored
+    monkeypatch.setattr(near, "_scored", lambda *a: counts.append(len(a[-1])) or score(*a))
+    list(near.compare(frame, *options))
+    return sum(counts)
+
+
+def test_few_pairs_of_a_block_get_a_token_set_score(monkeypatch):
+    """fuzzy_basic scored every pair of a block."""
+    frame = frame_of([(v, "") for v in names(3000)]).assign(_block="a")
+    n = len(frame)
+    assert scored(monkeypatch, frame, [("v0", 1.0)], 95, "token_set", True) < n * (n - 1) / 2 / 20
+
+
+def test_tiles_of_a_block_have_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(near, "TILE", 20)
+    frame = frame_of([(v, "") for v in names(150)]).assign(_block="a")
+    nodes = spark.createDataFrame(frame[["_block", "_node", "v0"]], "_block string, _node long, v0 string")
+    got = {frozenset((r["src"], r["dst"])): r["score"] for r in near.pairs(nodes, ["v0"], 90, [1.0], "token_set").collect()}
+    assert got == brute_pairs(frame, [("v0", 1.0)], 90, "token_set", False)
