@@ -300,3 +300,10 @@ def test_tiles_of_a_block_have_every_pair(spark, monkeypatch):
     nodes = spark.createDataFrame(frame[["_block", "_node", "v0"]], "_block string, _node long, v0 string")
     got = {frozenset((r["src"], r["dst"])): r["score"] for r in near.pairs(nodes, ["v0"], 90, [1.0], "token_set").collect()}
     assert got == brute_pairs(frame, [("v0", 1.0)], 90, "token_set", False)
+
+
+def test_partners_among_many_values_of_one_letter(spark):
+    """studio_group_rules compared each of the phone numbers, which all begin with the same letter, with all others."""
+    df = spark.range(0, 30_000, 1, 4).selectExpr("concat('+91 98765', lpad(cast(id as string), 5, '0')) as v")
+    turned = spark.range(0, 30_000, 1500).selectExpr("concat('+91 98765', lpad(cast(id as string), 5, '0'), ' +91') as v")  # the same tokens
+    assert studio.fuzzy_dups(df.unionByName(turned), "v", 100).first()["fail_count"] == 40
