@@ -307,3 +307,46 @@ def test_partners_among_many_values_of_one_letter(spark):
     df = spark.range(0, 30_000, 1, 4).selectExpr("concat('+91 98765', lpad(cast(id as string), 5, '0')) as v")
     turned = spark.range(0, 30_000, 1500).selectExpr("concat('+91 98765', lpad(cast(id as string), 5, '0'), ' +91') as v")  # the same tokens
     assert studio.fuzzy_dups(df.unionByName(turned), "v", 100).first()["fail_count"] == 40
+
+
+def test_few_pairs_of_a_block_get_a_hybrid_score(monkeypatch):
+    """fuzzy_core scored every pair of a block."""
+    rnd = random.Random(2)
+    frame = frame_of([(v, rnd.choice(["gdynia", "porto", "lodz", "new bergen", "saint ives"])) for v in names(2000)]).assign(_block="a")
+    n = len(frame)
+    assert scored(monkeypatch, frame, [("v0", 3.0), ("v1", 1.0)], 90, "hybrid", False) < n * (n - 1) / 2 / 20
+
+
+@given(st.text(alphabet="ab c", max_size=9), st.text(alphabet="ab cé", max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_partial_ratio_equals_its_windows(a, b):
+    short, long = sorted((a, b), key=len)
+    every = lambda x, y: [scorers.ratio(x, y[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(y)) if y[max(0, i) : i + len(short)]]
+    best = max(every(short, long) + (every(long, short) if len(a) == len(b) else [])) if short else 100.0 if a == b else 0.0
+    assert scorers.partial_ratio(a, b) == best
+
+
+def test_partial_ratio_takes_few_steps():
+    """A window's subsequences come from one pass over all windows, not from a pass for each."""
+    a, b = "kakheddid jatfaljur hardware and sons", "kakhedid jatfaljur hardware & sons limited"
+    calls, lcs = [], scorers._lcs
+    scorers._lcs = lambda x, y: calls.append(1) or lcs(x, y)
+    try:
+        assert scorers.partial_ratio(a, b) > 90
+    finally:
+        scorers._lcs = lcs
+    assert len(calls) < 5
+
+
+def test_groups_over_tiles_are_those_of_whole_blocks(spark, monkeypatch):
+    values = [v for v in names(150, 5) for _ in range(1 + (len(v) % 7 == 0))]
+    got = []
+    for tile in (near.TILE, 25):
+        monkeypatch.setattr(near, "TILE", tile)
+        members, _ = fuzzy.matches(frame(spark, values), ["v"], F.col("i"), threshold=88)
+        groups = {}
+        for r in members.collect():
+            groups.setdefault((r["_group"], r["_score"]), []).append(r["_row"])
+        got.append(sorted((sorted(g), s) for (_, s), g in groups.items()))
+    assert got[0] == got[1] and [g for g, _ in got[0]] == brute_fuzzy(values, 88)
+    assert all(s == 100 for g, s in got[0] if len({values[i] for i in g}) < len(g))
