@@ -350,3 +350,21 @@ def test_groups_over_tiles_are_those_of_whole_blocks(spark, monkeypatch):
         got.append(sorted((sorted(g), s) for (_, s), g in groups.items()))
     assert got[0] == got[1] and [g for g, _ in got[0]] == brute_fuzzy(values, 88)
     assert all(s == 100 for g, s in got[0] if len({values[i] for i in g}) < len(g))
+
+
+def test_shared_words_alone_do_not_ask_for_a_score(monkeypatch):
+    """uniqueness_fuzzy scored every pair of a block, also those that share no more than usual words."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") + rnd.choice("dklmnprst") for _ in range(3))
+    rows = frame_of([(f"ab{word()} {word()} {w}", "lodz") for w in ("trading private limited", "and sons", "co") for _ in range(400)]).assign(_block="ab")
+    n = len(rows)
+    assert scored(monkeypatch, rows, [("v0", 3.0), ("v1", 1.0)], 90, "hybrid", False) < n * (n - 1) / 2 / 50
+
+
+def test_uniqueness_finds_the_groups_of_brute_force(spark):
+    values = names(100, 11)
+    records, _ = uniqueness.duplicates(frame(spark, values), uniqueness.Uniqueness(("v",), alike=(uniqueness.Alike(("v",), 88),)), F.col("i"))
+    groups = {}
+    for r in records.collect():
+        groups.setdefault(r["Duplicate_Group_ID"], []).append(r["Row_Number"])
+    assert sorted(sorted(g) for g in groups.values()) == brute_fuzzy(values, 88)
